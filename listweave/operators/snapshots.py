@@ -40,7 +40,7 @@ def snapshot_index(df: DataFrame, snapshot: str) -> DataFrame:
     deliveries, not of records."""
     snaps = df.where(F.col(f"`{snapshot}`").isNotNull()).select(F.col(f"`{snapshot}`").alias("snap")).distinct()
     every = Window.orderBy("snap")
-    return snaps.select("snap", (F.row_number().over(every) - 1).alias("idx"), F.lead("snap").over(every).alias("next_snap"), F.max(F.struct("snap")).over(Window.partitionBy(F.lit(0)))["snap"].alias("last_snap"))
+    return snaps.select("snap", (F.row_number().over(every) - 1).alias("idx"), F.lead("snap").over(every).alias("next_snap"))
 
 
 def validity_intervals(df: DataFrame, snapshot: str, key: list[str], value: list[str], version: list[str]) -> DataFrame:
