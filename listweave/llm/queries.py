@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listweave.llm import canonical, seen_keys, term_stats
+from listweave.llm import bpe, canonical, seen_keys, term_stats
 from listweave.plans.common import table
 
 
@@ -56,10 +56,15 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.collapse(_records(spark, sf_dir))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies,
     "p2_found": p2_found, "p2_decisions": p2_decisions, "p2_error_report": p2_error_report,
     "p5_found": p5_found, "p5_records": p5_records,
+    "p6_ids": p6_ids,
 }
 
 _TERMS = """
