@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listweave.llm import bpe, canonical, seen_keys, term_stats
+from listweave.llm import bpe, canonical, mixing, seen_keys, term_stats
 from listweave.plans.common import table
 
 
@@ -60,11 +60,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, mixing.Plan]:
+    targets = table(spark, sf_dir, "mix_targets")
+    sized = mixing.size_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    queue = mixing.plan(sized, targets)
+    return mixing.mixture(sized, queue), sized, targets, queue
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, sized, targets, queue = _mixed(spark, sf_dir)
+    return mixing.shares(mixed, sized, targets, queue.budget)
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies,
     "p2_found": p2_found, "p2_decisions": p2_decisions, "p2_error_report": p2_error_report,
     "p5_found": p5_found, "p5_records": p5_records,
     "p6_ids": p6_ids,
+    "p7_mixture": p7_mixture, "p7_shares": p7_shares,
 }
 
 _TERMS = """
