@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listweave.llm import bpe, canonical, mixing, seen_keys, term_stats
+from listweave.llm import bpe, canonical, mixing, seen_keys, subjects, term_stats
 from listweave.plans.common import table
 
 
@@ -76,12 +76,36 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixed, sized, targets, queue.budget)
 
 
+#: A document belongs to a subject if so many sentences or list items are about it.
+NEED_UNITS = 3
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sorted(r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").distinct().collect())
+    return subjects.subject_units(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), names)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where(F.col("units") >= NEED_UNITS).select("doc_id", "subject")
+
+
+def p8_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir)
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the corpus is made up: documents that belong to each subject, and units about it."""
+    belongs = F.count_if(F.col("units") >= NEED_UNITS).alias("documents")
+    return _judged(spark, sf_dir).groupBy("subject").agg(belongs, F.sum("units").alias("units"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies,
     "p2_found": p2_found, "p2_decisions": p2_decisions, "p2_error_report": p2_error_report,
     "p5_found": p5_found, "p5_records": p5_records,
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_mixtures": p8_mixtures, "p8_composition": p8_composition,
 }
 
 _TERMS = """
