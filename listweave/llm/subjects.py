@@ -48,6 +48,8 @@ from listweave.storage import materialize
 #: Terms (words and word pairs) are hashed into so many buckets; H has this width.
 BUCKETS = 1 << 19
 MAX_LABELLED = 50_000
+#: Terms of fewer documents say nothing unless labels settle them.
+MIN_DF = 10
 _ITEM, _SHORT, _SENTENCE = 1, 2, 0
 _ENDS = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？])")
 _WORD = re.compile("[a-zß-ɏͰ-῿]+|[一-鿿々ァ-ヺー]+")
@@ -163,7 +165,7 @@ def seed(df: np.ndarray, labelled: np.ndarray, by_subject: np.ndarray) -> Model:
     and labelled ones of each subject."""
     share = (by_subject + 0.1) / (labelled + 1.0)
     known = (labelled >= 3) & (share.max(0) > 0.4)
-    plain = (labelled >= 6) & ~known
+    plain = ~known & ((labelled >= 6) | (df < MIN_DF))
     H = np.zeros((len(by_subject) + 1, len(df)), np.float32)
     total = max(df.sum(), 1.0)
     open_ = ~known & ~plain & (df > 0)
@@ -211,12 +213,12 @@ def updated(model: Model, numerator: np.ndarray) -> Model:
     return Model((H / np.maximum(H.sum(1, keepdims=True), 1e-9)).astype(np.float32), model.known, model.plain, model.df, mass)
 
 
-def votes(model: Model, min_df: int = 10, clear: float = 0.7) -> np.ndarray:
+def votes(model: Model, clear: float = 0.7) -> np.ndarray:
     """(subject x bucket): how far a term speaks for each subject; 0 for terms
     that are neither settled by labels nor clear by the factorisation."""
     A = model.H.astype(np.float64) * model.mass[:, None]
     A /= A.sum(0) + 1e-20
-    use = model.known | (~model.plain & (model.df >= min_df) & (A[:-1].max(0) >= clear))
+    use = model.known | (~model.plain & (A[:-1].max(0) >= clear))
     return np.where(use, A[:-1], 0).astype(np.float32)
 
 
