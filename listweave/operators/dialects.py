@@ -137,7 +137,11 @@ def parse_lines(df: DataFrame) -> DataFrame:
     status = F.when(F.col("_fails"), "ERROR").when(F.col("_rule").isNull(), "INVALID").otherwise("OK")
     fields = [F.col(f"_rule.{f}").alias(f) for f in FIELDS if f != "controls"]
     controls = F.coalesce(F.col("_rule.controls"), F.array().cast("array<string>")).alias("controls")
-    return df.select(*kept, F.col("source_type").alias("declared_type"), F.col("line").alias("origin"), *fields, controls, status.alias("status"))
+    # One-row generator: predicates on the parsed fields stay above it. Pushed
+    # below, the optimizer would write the whole chain of stages out into them,
+    # which takes minutes to plan and parses each line once more per use.
+    once = F.inline(F.array(F.struct(*fields, controls, status.alias("status"))))
+    return df.select(*kept, F.col("source_type").alias("declared_type"), F.col("line").alias("origin"), once)
 
 
 # -- rendering ----------------------------------------------------------------
@@ -189,4 +193,4 @@ def commented(text: str, dialect: str) -> str:
 
 
 def _java_space(ch: str) -> bool:
-    return (ch.isspace() and ch not in "   \x85") or ch in "\x1c\x1d\x1e\x1f"
+    return (ch.isspace() and ch not in "\u00a0\u2007\u202f\x85") or ch in "\x1c\x1d\x1e\x1f"
