@@ -134,7 +134,10 @@ def parse_config(tree: dict) -> Config:
     differ. The fetcher may stand under config or beside it."""
     app = _keys(tree.get("application", tree))
     legacy = [x for xs in (app.get("rule") or {}).values() for x in xs or ()]
-    inputs = list({i.path: i for i in reversed([_input(x) for x in [*(app.get("input") or ()), *legacy]])}.values())[::-1]
+    by_path: dict[str, Input] = {}
+    for item in map(_input, [*(app.get("input") or ()), *legacy]):
+        by_path.setdefault(item.path, item)
+    inputs = list(by_path.values())
     out = _keys(app.get("output"))
     outputs = [_output(x) for x in out.get("files") or ()]
     if len({o.name for o in outputs}) < len(outputs):
