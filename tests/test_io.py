@@ -77,7 +77,7 @@ def test_whole_job(spark, tmp_path):
     out = {p.name: p.read_bytes().decode() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
     assert out["easy.txt"] == "! easy.txt easylist D\r\n! 3 of 2025-01-01 00:00:00\n||a.de^\n@@||b.de^\nx\rx$y\n"
     assert out["hosts"] == "# own 3\n0.0.0.0\ta.de\n1.2.3.4\td.de\n0.0.0.0\te.de\n"
-    assert out["none.yaml"] == "#none.yaml clash \r\n#0 of 2025-01-01 00:00:00\npayload:\n"
+    assert out["none.yaml"] == "#none.yaml clash\r\n#0 of 2025-01-01 00:00:00\npayload:\n"
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".staging")]
     lines = lists.raw_lines(spark, config.input, root=str(tmp_path))
     stats = {r["source_name"]: tuple(r)[1:] for r in pipeline.plan(lines, config).stats.collect()}
