@@ -1,0 +1,155 @@
+"""Term frequencies, filters, seen keys and canonical duplicates."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from listweave.llm import bloom, canonical, seen_keys, term_stats
+from listweave.llm.keyed import join_back, key_text
+
+
+def test_terms_against_counting(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.randrange(-5000, 10**12), [rnd.choice("abcdefgh") for _ in range(rnd.randrange(5))], None if i % 7 else "all") for i in range(500)]
+    rows += [(1, None, "all"), (2, [None, "a", "a"], ""), (None, ["a"], "all")]
+    df = spark.createDataFrame(rows, "`record id` bigint, ts array<string>, s string").withColumn("term", F.lit("clash")).withColumn("field", F.lit(1))
+    fields = lambda: {"t": F.col("ts"), "s": F.when(F.col("s") != "", F.array("s"))}
+    got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in term_stats.frequencies(term_stats.term_bitmaps(df, "record id", fields())).collect()}
+    occ, rec = Counter(), defaultdict(set)
+    for rid, ts, s in rows:
+        for f, t in [("t", x) for x in ts or [] if x is not None] + [("s", s)] * bool(s):
+            if rid is not None:
+                occ[f, t] += 1
+                rec[f, t].add(rid)
+    assert got == {k: (occ[k], len(rec[k])) for k in occ}
+    halves = [term_stats.term_bitmaps(df.where(F.pmod("record id", F.lit(2)) == i), "record id", fields()) for i in (0, 1)]
+    merged = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in term_stats.frequencies(term_stats.merge_bitmaps(*halves)).collect()}
+    assert merged == got
+
+
+def test_marks(spark):
+    rows = [(i, ["com" if i < 5 else "net", f"u{i}", "u1"] if i < 100 else []) for i in range(140)]
+    df = spark.createDataFrame(rows, "id bigint, ts array<string>")
+    marks = {r["term"]: r["mark"] for r in term_stats.marked_frequencies(df, "id", {"t": F.col("ts")}).collect()}
+    assert (marks["com"], marks["net"], marks["u1"], marks["u2"]) == (None, "common", "common", "rare")  # com: exactly one in 20
+    assert term_stats.marked_frequencies(df.limit(0), "id", {"t": F.col("ts")}).count() == 0
+
+
+def test_term_texts(spark):
+    df = spark.createDataFrame([(" A..b .\tC",), ("",), (None,), ("İ.x",)], "c string")
+    got = [r[0] for r in df.select(term_stats.dotted_terms(F.col("c"))).collect()]
+    assert got == [["a", "b", "c"], [], None, ["i̇", "x"]]
+
+
+def hashed(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "v string").select(F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h"), "v")
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_filters_have_no_false_negatives(spark, limit):
+    stored, asked = [f"k{i}" for i in range(3000)], [f"k{i}" for i in range(0, 9000, 3)] + [None]
+    n = bloom.words_for(len(stored))
+    out = bloom.might_contain(hashed(spark, asked), bloom.membership_filter(hashed(spark, stored), n), "h", n, "maybe", limit).collect()
+    assert len(out) == len(asked)
+    held = set(stored)
+    assert all(r["maybe"] for r in out if r["v"] in held)
+    assert sum(r["maybe"] for r in out if r["v"] not in held) < 0.05 * len(out)
+    assert not next(r for r in out if r["v"] is None)["maybe"]
+
+
+def test_repeats_inside_and_across_tasks(spark):
+    values = [f"k{i}" for i in range(4000)] + [f"k{i}" for i in range(0, 4000, 10)] + ["hot"] * 3000
+    df = hashed(spark, values).repartition(7)
+    n = bloom.words_for(len(values))
+    out = bloom.might_contain(df, bloom.repeat_filter(df, n), "h", n, "maybe").collect()
+    times = Counter(values)
+    assert all(r["maybe"] for r in out if times[r["v"]] > 1)
+    assert sum(r["maybe"] for r in out if times[r["v"]] == 1) < 0.02 * len(out)
+    word, once, again = bloom._words(np.array([5, 5, -7], np.int64), 10)
+    assert len(word) == 2 and (again != 0).sum() == 1 and (once != 0).all()
+
+
+def test_key_text_is_injective(spark):
+    rows = [("ab", "c"), ("a", "bc"), (None, "c"), ("", "c"), ("-", "c"), ("ab", None), ("1:a", ""), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(key_text(F.col("a"), F.col("b"))).distinct().count() == len(rows)
+
+
+def test_join_back_with_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(900)], "id bigint, key string")
+    per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    for share in (1, 10, 10**6):
+        out = join_back(rows, per_key, "key", "held", 900, share)
+        assert out.count() == 900 and out.select("id").distinct().count() == 900
+
+
+ARRIVALS = "rec_id bigint, key string"
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("share", [2, 1000])
+def test_seen_against_a_set(spark, limit, share):
+    rnd = random.Random(3)
+    stored = [rnd.choice([None, f"s{rnd.randrange(400)}", "hot"]) for _ in range(900)]
+    arrivals = [(i * 3, rnd.choice([f"s{rnd.randrange(800)}", f"n{rnd.randrange(300)}", "hot", None])) for i in range(900)]
+    expected, known = {}, {k for k in stored if k is not None}
+    for rec, key in arrivals:
+        expected[rec] = key is not None and key in known
+        known |= {key} - {None}
+    rnd.shuffle(arrivals)
+    out = seen_keys.seen_before(spark.createDataFrame(arrivals, ARRIVALS), spark.createDataFrame([(k,) for k in stored], "key string"), limit, share)
+    got = out.collect()
+    assert {r["rec_id"]: r["seen"] for r in got} == expected and len(got) == len(arrivals)
+    report = seen_keys.error_report(out).first()
+    assert report["records"] == 900 and report["confirmed"] == sum(expected.values())
+    assert report["filter_negatives"] + report["confirmed"] + report["first_of_repeats"] + report["disproved"] == 900
+    assert 0 <= report["false_positive_rate"] < 0.1
+
+
+def test_seen_small(spark):
+    none, one = spark.createDataFrame([], ARRIVALS), spark.createDataFrame([(1, "a"), (2, "a")], ARRIVALS)
+    store = spark.createDataFrame([], "key string")
+    assert seen_keys.seen_before(none, store).count() == 0
+    assert sorted(tuple(r) for r in seen_keys.seen_before(one, store).select("rec_id", "seen").collect()) == [(1, False), (2, True)]
+    assert seen_keys.error_report(seen_keys.seen_before(none, store)).first()["false_positive_rate"] == 0
+
+
+def test_rule_key(spark):
+    rows = [("o", "t", "D", "S", "BASIC"), ("x", "t", "D", "S", "BASIC"), ("o", None, None, None, "UNKNOWN"), ("o", "t", None, "S", "UNKNOWN"), ("o", None, "D", "S", "BASIC"), ("o", "", "D", "S", "BASIC"), ("t", "o", "D", "S", None)]
+    df = spark.createDataFrame(rows, "origin string, target string, mode string, scope string, type string")
+    keys = [r[0] for r in df.select(seen_keys.rule_key(*[F.col(c) for c in df.columns])).collect()]
+    assert keys[0] == keys[1] and keys[2] == keys[3] and len(set(keys)) == 5 and None not in keys
+
+
+def brute_key(mode, kind, origin, target):
+    runs = lambda t: None if t is None else tuple(sorted(re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))))
+    return mode, kind, runs(origin), runs(target)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("share", [2, 1000])
+def test_canonical_against_grouping(spark, limit, share):
+    rnd = random.Random(5)
+    texts = ["||a.b^", "B  a", "b.A.b", "a b b", "ab", "", "--", None, "K", "k", "Äx", "x", "1 A", "a-1", "x" * 20000, "X" * 20000]
+    rows = [(i * 2, rnd.choice(["DENY", "ALLOW", None, ""]), rnd.choice(["BASIC", None]), rnd.choice(texts), rnd.choice(texts)) for i in range(700)]
+    rows += [(10_000 + i, "DENY", "BASIC", "hot", "hot") for i in range(600)]
+    rows += [(20_000 + i, "DENY", "BASIC", f"single {i}", None) for i in range(300)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id bigint, mode string, type string, origin string, target string")
+    records = df.select("id", canonical.canonical_key([F.col("mode"), F.col("type")], [F.col("origin"), F.col("target")]).alias("key"))
+    groups = defaultdict(list)
+    for i, *key in rows:
+        groups[brute_key(*key)].append(i)
+    assert sorted(map(tuple, canonical.collapse(records, limit).collect())) == sorted((min(g), len(g)) for g in groups.values())
+    got = canonical.copies(records, limit, share)
+    assert got.columns == ["first_id", "copy_id"]
+    assert sorted(map(tuple, got.collect())) == sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
+
+
+def test_canonical_empty(spark):
+    df = spark.createDataFrame([], "id bigint, key string")
+    assert canonical.collapse(df).count() == 0 and canonical.copies(df).count() == 0
