@@ -44,5 +44,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the tasks it was running. Rows, columns and types are those of ``df``.
     """
     path = f"{shared_dir(df.sparkSession)}/listweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
