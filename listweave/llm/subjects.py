@@ -9,11 +9,14 @@ no subject (sentence frames, menus, notices, names). After the last update
 column t of H says which subjects a term speaks for and row d of W is the
 document's subject mixture.
 
-X is written once as token ids and unit lengths. An update of H is one pass
-over it: each task solves W for its documents with H fixed and adds up its
-part of the numerator, tasks' parts are summed per term, and the new H, whose
-size is fixed by ``BUCKETS``, goes back to the tasks. W never leaves the
-tasks.
+X is written once as token ids and unit lengths. One pass counts the terms and
+settles the vocabulary: terms that labels tie to subjects, and terms that are
+frequent enough for the factorisation to place. An update of H is one more
+pass: each task solves W for its documents with H fixed and adds up its part
+of the numerator, the parts are summed per term, and the new H goes back to
+the tasks. W never leaves the tasks. Terms are hashed into ``BUCKETS`` and the
+vocabulary holds no term of fewer than one in ``RARE`` documents that labels
+do not tie, so H has a bound that does not depend on the size of the corpus.
 
 A document belongs to a subject if at least ``need`` of its units (sentences
 or list items) are about it: the unit's terms, weighted by the document's
@@ -45,23 +48,36 @@ from pyspark.sql import functions as F
 
 from listweave.storage import materialize
 
-#: Terms (words and word pairs) are hashed into so many buckets; H has this width.
-BUCKETS = 1 << 19
+#: Terms (words and word pairs) are hashed into so many buckets.
+BUCKETS = 1 << 22
 MAX_LABELLED = 50_000
-#: Terms of fewer documents say nothing unless labels settle them.
-MIN_DF = 10
+#: Terms of fewer documents than MIN_DF, or than one in RARE, say nothing unless labels settle them.
+MIN_DF, RARE = 10, 100_000
 _ITEM, _SHORT, _SENTENCE = 1, 2, 0
+# UTF-8 bytes that were read as one-byte characters (Windows-1252, with the
+# bytes it leaves undefined as control codes): a lead and its followers.
+_BYTE_OF = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0x100)}
+_TAIL = "[" + "".join(re.escape(ch) for ch, b in _BYTE_OF.items() if b < 0xC0) + "]"
+_GARBLED = re.compile(f"[\u00c2-\u00df]{_TAIL}|[\u00e0-\u00ef]{_TAIL}{{2}}|[\u00f0-\u00f4]{_TAIL}{{3}}")
 _ENDS = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？])")
-_WORD = re.compile("[a-zß-ɏͰ-῿]+|[一-鿿々ァ-ヺー]+")
+_WORD = re.compile("[a-zß-ɏͰ-῿\ufffd]+|[一-鿿々ァ-ヺー]+")
 _BREAK = re.compile(r"[\r\n\v\f\x85  ]+")
 _MENU = re.compile(r"\s[·|»›•]\s|  +")
 _STOP = re.compile(r"[.!?…。！？]")
 _BULLET = re.compile(r"\s*[-*•–]\s")
 
 
+def _restored(found: re.Match) -> str:
+    try:
+        return bytes(_BYTE_OF[ch] for ch in found[0]).decode()
+    except UnicodeDecodeError:
+        return found[0]
+
+
 def units(text: str) -> Iterator[tuple[list[str], int]]:
-    """(words, kind) of each unit that has words, in order."""
-    for line in _BREAK.split(text):
+    """(words, kind) of each unit that has words, in order. Garbled characters
+    are restored where their bytes are whole."""
+    for line in _BREAK.split(_GARBLED.sub(_restored, text)):
         stops = _STOP.search(line)
         if not stops and len(_MENU.findall(line)) >= 2:
             continue
@@ -141,47 +157,57 @@ class Block:
         per_doc = np.diff(np.asarray(lens.offsets))
         return cls(batch.num_rows, np.asarray(toks.flatten()).astype(np.int64), np.repeat(np.arange(len(n)), n), np.repeat(np.arange(batch.num_rows), per_doc), np.asarray(kinds.flatten()))
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, bucket, occurrences) of the matrix, by document."""
+    def counts(self, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, occurrences) of the matrix, by document. ``index``
+        maps buckets to the columns of the vocabulary (-1: not in it)."""
         doc = self.unit_doc[np.concatenate([self.unit, self.pair_unit])]
-        cell, n = np.unique(doc * BUCKETS + np.concatenate([self.tok, self.pair]), return_counts=True)
-        return cell // BUCKETS, cell % BUCKETS, n
+        term, width = np.concatenate([self.tok, self.pair]), BUCKETS
+        if index is not None:
+            term, width = index[term], int(index.max()) + 1
+            doc, term = doc[term >= 0], term[term >= 0]
+        cell, n = np.unique(doc * width + term, return_counts=True)
+        return cell // max(width, 1), cell % max(width, 1), n
 
 
 @dataclass
 class Model:
-    """H (component x bucket; the last component is the common one) and which
-    buckets the labels settle: ``known`` speak for subjects, ``plain`` for none."""
+    """The vocabulary (sorted buckets), which of its terms are tied to subjects
+    by labels, H (component x term; the last component is the common one) and
+    the mass of each component."""
 
-    H: np.ndarray
+    terms: np.ndarray
     known: np.ndarray
-    plain: np.ndarray
     df: np.ndarray
+    H: np.ndarray
     mass: np.ndarray
 
+    def index(self) -> np.ndarray:
+        at = np.full(BUCKETS, -1, np.int64)
+        at[self.terms] = np.arange(len(self.terms))
+        return at
+
 
-def seed(df: np.ndarray, labelled: np.ndarray, by_subject: np.ndarray) -> Model:
-    """Anchors from document counts per bucket: all documents, labelled ones,
-    and labelled ones of each subject."""
+def seed(terms: np.ndarray, docs: int, df: np.ndarray, labelled: np.ndarray, by_subject: np.ndarray) -> Model:
+    """Vocabulary and anchors from document counts per term: all documents,
+    labelled ones, and labelled ones of each subject. Terms that labels show to
+    be common to the subjects are left out, as are rare ones."""
     share = (by_subject + 0.1) / (labelled + 1.0)
     known = (labelled >= 3) & (share.max(0) > 0.4)
-    plain = ~known & ((labelled >= 6) | (df < MIN_DF))
-    H = np.zeros((len(by_subject) + 1, len(df)), np.float32)
-    total = max(df.sum(), 1.0)
-    open_ = ~known & ~plain & (df > 0)
-    H[:-1] = np.where(known & (share > 0.15), df * share**2, 0) + np.where(open_, df, 0)
+    open_ = ~known & (labelled < 6) & (df >= max(MIN_DF, docs / RARE))
+    keep = np.flatnonzero(known | open_)
+    keep = keep[np.argsort(terms[keep])]
+    terms, df, known, share = terms[keep], df[keep], known[keep], share[:, keep]
+    H = np.zeros((len(by_subject) + 1, len(keep)))
+    H[:-1] = np.where(known, np.where(share > 0.15, df * share**2, 0), df)
     H[-1] = np.where(known, 0, df)
-    return Model(H / total, known, plain, df, np.ones(len(H)))
+    return Model(terms, known, df, (H / max(df.sum(), 1.0)).astype(np.float32), np.ones(len(H)))
 
 
-def mixtures(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, docs: int, model: Model, allowed: np.ndarray | None = None, steps: int = 6) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """W (component x document) with H fixed, the responsibilities of the
-    matrix cells, and the cells (document, bucket) they stand for. Plain terms
-    can only belong to the common component, so they say nothing about the
-    others and are left out."""
-    use = ~model.plain[bucket]
-    doc, bucket, n = doc[use], bucket[use], n[use].astype(np.float32)
-    h = model.H[:, bucket]
+def mixtures(doc: np.ndarray, term: np.ndarray, n: np.ndarray, docs: int, model: Model, allowed: np.ndarray | None = None, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """W (component x document) with H fixed, and the responsibilities of the
+    components for the matrix cells."""
+    n = n.astype(np.float32)
+    h = model.H[:, term]
     W = np.ones((len(model.H), docs), np.float32)
     if allowed is not None:
         W[:-1] *= allowed
@@ -196,33 +222,30 @@ def mixtures(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, docs: int, mode
             W[:, rows] = np.add.reduceat(r, first, axis=1)
             if allowed is not None:
                 W[:-1] *= allowed
-    return W, r, (doc, bucket)
+    return W, r
 
 
 def updated(model: Model, numerator: np.ndarray) -> Model:
     """The next H: the summed responsibilities, each component scaled to one.
     Open terms keep a little of every component so that later passes may still
     move them."""
-    H = numerator.astype(np.float64)
-    open_ = ~model.known & ~model.plain & (model.df > 0)
-    mass = H.sum(1)
-    H = H / np.maximum(mass[:, None], 1e-9)
-    H += np.where(open_, 1e-3 * model.df / max(model.df.sum(), 1.0), 0)
-    H[:-1, model.plain] = 0
+    mass = numerator.sum(1)
+    H = numerator / np.maximum(mass[:, None], 1e-9)
+    H += np.where(model.known, 0, 1e-3 * model.df / max(model.df.sum(), 1.0))
     H[-1, model.known] = 0
-    return Model((H / np.maximum(H.sum(1, keepdims=True), 1e-9)).astype(np.float32), model.known, model.plain, model.df, mass)
+    return Model(model.terms, model.known, model.df, (H / np.maximum(H.sum(1, keepdims=True), 1e-9)).astype(np.float32), mass)
 
 
-def votes(model: Model, clear: float = 0.7) -> np.ndarray:
-    """(subject x bucket): how far a term speaks for each subject; 0 for terms
+def votes(model: Model, clear: float = 0.85) -> np.ndarray:
+    """(subject x term): how far a term speaks for each subject; 0 for terms
     that are neither settled by labels nor clear by the factorisation."""
     A = model.H.astype(np.float64) * model.mass[:, None]
     A /= A.sum(0) + 1e-20
-    use = model.known | (~model.plain & (A[:-1].max(0) >= clear))
+    use = model.known | (A[:-1].max(0) >= clear) if A.size else model.known
     return np.where(use, A[:-1], 0).astype(np.float32)
 
 
-def unit_subjects(block: Block, W: np.ndarray, V: np.ndarray) -> np.ndarray:
+def unit_subjects(block: Block, W: np.ndarray, V: np.ndarray, index: np.ndarray) -> np.ndarray:
     """(document x subject): units about the subject."""
     subjects, n_units = len(V), len(block.unit_doc)
     mix = W[:-1] / (W[:-1].sum(0) + 1e-9) * 0.7 + 0.3 / subjects
@@ -230,7 +253,8 @@ def unit_subjects(block: Block, W: np.ndarray, V: np.ndarray) -> np.ndarray:
     loud = np.zeros(n_units, np.float32)
     score = np.zeros((subjects, n_units))
     for t, u in ((block.tok, block.unit), (block.pair, block.pair_unit)):
-        at = np.flatnonzero(heard[t] > 0)
+        t = index[t]
+        at = np.flatnonzero((t >= 0) & (heard[t] > 0))
         t, u = t[at], u[at]
         np.maximum.at(loud, u, heard[t])
         for s in range(subjects):
@@ -249,24 +273,24 @@ def unit_subjects(block: Block, W: np.ndarray, V: np.ndarray) -> np.ndarray:
 
 # -- over the corpus ----------------------------------------------------------
 
-def _summed(parts: DataFrame, width: int, columns: int) -> np.ndarray:
-    """Adds up rows (bucket, values) per bucket; at most ``width`` rows reach
-    the driver, whatever the size of the corpus."""
-    sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(columns)]).alias("v"))
-    table = sums.toArrow()
-    out = np.zeros((columns, width))
-    if table.num_rows:
-        out[:, np.asarray(table.column("bucket"))] = np.asarray(table.column("v").combine_chunks().flatten()).reshape(-1, columns).T
-    return out
+_PARTS = "term int, v array<double>"
 
 
-def _sparse(acc: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(acc.any(0))
-    values = pa.FixedSizeListArray.from_arrays(pa.array(acc[:, at].T.ravel().astype(np.float64)), len(acc)).cast(pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), values], ["bucket", "v"])
+def _rows(term: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Rows (term, v) of one task; ``values`` is (column x term)."""
+    v = pa.ListArray.from_arrays(pa.array(np.arange(len(term) + 1) * len(values), pa.int32()), pa.array(values.T.ravel().astype(np.float64)))
+    return pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), v], ["term", "v"])
 
 
-_PARTS = "bucket int, v array<double>"
+def _summed(parts: DataFrame, columns: int, keep: str = "true") -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their summed values (column x term); only terms that pass
+    ``keep`` reach the driver, the vocabulary at most."""
+    sums = parts.groupBy("term").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(columns)]).alias("v")).where(keep)
+    table = sums.toArrow()
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros((columns, 0))
+    v = np.asarray(table.column("v").combine_chunks().flatten()).reshape(-1, columns).T
+    return np.asarray(table.column("term")).astype(np.int64), v
 
 
 def label_masks(labels: DataFrame, subjects: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -280,43 +304,55 @@ def label_masks(labels: DataFrame, subjects: list[str], max_labelled: int = MAX_
     return clean.groupBy("doc_id").agg(F.bit_or("bit").alias("mask")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
+def _masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each document is labelled, and the bits of its subjects."""
+    mask = batch.column(1)
+    return np.asarray(mask.is_valid()), np.asarray(mask.fill_null(0))
+
+
 def fit(matrix: DataFrame, subjects: list[str], passes: int = 3) -> Model | None:
     """The factorisation of ``matrix`` (doc_id, mask, toks, lens, kinds)."""
-    k = len(subjects)
+    k, docs = len(subjects), matrix.count()
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((k + 2, BUCKETS))
+        df = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            doc, bucket, _ = Block.of(batch, 2).counts()
-            acc[0] += np.bincount(bucket, minlength=BUCKETS)
-            mask = batch.column(1)
-            has, mask = np.asarray(mask.is_valid()), np.asarray(mask.fill_null(0))
-            on = has[doc]
-            doc, bucket = doc[on], bucket[on]
-            acc[1] += np.bincount(bucket, minlength=BUCKETS)
-            for s in range(k):
-                acc[2 + s] += np.bincount(bucket, (mask[doc] >> s) & 1, BUCKETS)
-        yield _sparse(acc)
-
-    counts = _summed(matrix.mapInArrow(stats, _PARTS), BUCKETS, k + 2)
-    model = seed(counts[0], counts[1], counts[2:])
+            doc, term, _ = Block.of(batch, 2).counts()
+            df += np.bincount(term, minlength=BUCKETS).astype(np.int32)
+            has, mask = _masks(batch)
+            doc, term = doc[has[doc]], term[has[doc]]
+            if len(doc):
+                own, place = np.unique(term, return_inverse=True)
+                sums = [np.bincount(place, minlength=len(own)), *[np.bincount(place, (mask[doc] >> s) & 1, len(own)) for s in range(k)]]
+                yield _rows(own, np.stack([np.zeros(len(own)), *sums]))
+        own = np.flatnonzero(df)
+        yield _rows(own, np.concatenate([df[None, own], np.zeros((k + 1, len(own)))]))
+
+    terms, counts = _summed(matrix.mapInArrow(stats, _PARTS), k + 2, f"v[1] >= 3 or v[0] >= {max(MIN_DF, docs / RARE)}")
+    model = seed(terms, docs, counts[0], counts[1], counts[2:])
     if not model.known.any():
         return None
+    width = len(model.terms)
     for _ in range(passes):
         shared = matrix.sparkSession.sparkContext.broadcast(model)
 
         def update(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, acc = shared.value, np.zeros((k + 1, BUCKETS), np.float32)
+            model = shared.value
+            index, acc = model.index(), np.zeros((k + 1, width))
             for batch in batches:
-                mask = batch.column(1)
-                has, mask = np.asarray(mask.is_valid()), np.asarray(mask.fill_null(0))
-                allowed = np.where(has, (mask >> np.arange(k)[:, None]) & 1 | ~has, 1).astype(np.float32)
-                _, r, (_, bucket) = mixtures(*Block.of(batch, 2).counts(), batch.num_rows, model, np.maximum(allowed, 0.05))
+                has, mask = _masks(batch)
+                allowed = np.where(has, (mask >> np.arange(k)[:, None]) & 1, 1)
+                doc, term, n = Block.of(batch, 2).counts(index)
+                _, r = mixtures(doc, term, n, batch.num_rows, model, np.maximum(allowed, 0.05).astype(np.float32))
                 for s in range(k + 1):
-                    acc[s] += np.bincount(bucket, r[s], BUCKETS).astype(np.float32)
-            yield _sparse(acc)
-
-        model = updated(model, _summed(matrix.mapInArrow(update, _PARTS), BUCKETS, k + 1))
+                    acc[s] += np.bincount(term, r[s], width)
+            own = np.flatnonzero(acc.any(0))
+            yield _rows(own, acc[:, own])
+
+        at, sums = _summed(matrix.mapInArrow(update, _PARTS), k + 1)
+        numerator = np.zeros((k + 1, width))
+        numerator[:, at] = sums
+        model = updated(model, numerator)
         shared.unpersist()
     return model
 
@@ -328,15 +364,15 @@ def judged(matrix: DataFrame, model: Model | None, subjects: list[str]) -> DataF
     schema = f"doc_id {kind}, subject string, units bigint, weight double"
     if model is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((model, votes(model)))
+    shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, V = shared.value
-        names = pa.array(subjects)
+        model = shared.value
+        V, index, names = votes(model), model.index(), pa.array(subjects)
         for batch in batches:
             block = Block.of(batch, 2)
-            W, _, _ = mixtures(*block.counts(), batch.num_rows, model)
-            found = unit_subjects(block, W, V)
+            W, _ = mixtures(*block.counts(index), batch.num_rows, model)
+            found = unit_subjects(block, W, V, index)
             d, s = np.nonzero(found)
             weight = (W[:-1] / (W.sum(0) + 1e-9)).T[d, s]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), names.take(pa.array(s)), pa.array(found[d, s]), pa.array(weight.astype(np.float64))], ["doc_id", "subject", "units", "weight"])

@@ -58,23 +58,32 @@ def test_units():
     assert sum(len(w) for w, _ in S.units("word " * 300_000)) == 300_000
 
 
-def test_updates_do_not_lower_the_fit():
+def test_updates_raise_the_fit_and_keep_anchors():
     rnd = np.random.default_rng(0)
-    doc, bucket = np.repeat(np.arange(60), 20), rnd.integers(0, 50, 1200)
+    doc, term = np.repeat(np.arange(60), 20), rnd.integers(0, 50, 1200)
     n = rnd.integers(1, 4, 1200)
-    df = np.bincount(bucket, minlength=S.BUCKETS).astype(float) + 0.0
-    df[:50] += 10
-    lab = np.zeros(S.BUCKETS)
-    by = np.zeros((2, S.BUCKETS))
-    lab[:10], by[0, :5], by[1, 5:10] = 5, 5, 5
-    model, last = S.seed(df, lab, by), -np.inf
+    df, labelled, by = np.bincount(term, minlength=50) + 10.0, np.zeros(50), np.zeros((2, 50))
+    labelled[:10], by[0, :5], by[1, 5:10] = 5, 5, 5
+    model, fits = S.seed(np.arange(50) * 3, 60, df, labelled, by), []
     assert model.known.sum() == 10 and not model.H[0, 5:10].any() and not model.H[2, :10].any()
     for _ in range(6):
-        W, r, (d, b) = S.mixtures(doc, bucket, n, 60, model, steps=8)
-        fit = float((n * np.log((model.H[:, b] * W[:, d]).sum(0) / W.sum(0)[d] + 1e-12)).sum())
-        assert fit > last - abs(last) * 1e-3 if np.isfinite(last) else True
-        num = np.zeros((3, S.BUCKETS))
-        for k in range(3):
-            num[k] = np.bincount(b, r[k], S.BUCKETS)
-        model, last = S.updated(model, num), fit
-        assert (model.H >= 0).all() and not model.H[0, 5:10].any()
+        W, r = S.mixtures(doc, term, n, 60, model, steps=8)
+        fits.append(float((n * np.log((model.H[:, term] * W[:, doc]).sum(0) / W.sum(0)[doc] + 1e-12)).sum()))
+        model = S.updated(model, np.stack([np.bincount(term, r[k], 50) for k in range(3)]))
+        assert (model.H >= 0).all() and not model.H[0, 5:10].any() and not model.H[2, :10].any()
+    assert all(b > a - abs(a) * 1e-3 for a, b in zip(fits[1:], fits[2:]))
+
+
+def test_vocabulary():
+    terms, labelled = np.array([7, 3, 5, 1]), np.array([4.0, 9.0, 0.0, 0.0])
+    model = S.seed(terms, 100, np.array([4.0, 50.0, 20.0, 2.0]), labelled, np.array([[4.0, 3.0, 0.0, 0.0]]))
+    assert model.terms.tolist() == [5, 7] and model.known.tolist() == [False, True]  # 3 is common, 1 is rare
+    index = model.index()
+    assert (index[7], index[5], index[3]) == (1, 0, -1)
+
+
+def test_garbled_text_is_restored():
+    text = "“The café isn’t.” When é 日本語 ü x."
+    for wrong in (text.encode().decode("latin-1"), "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in text.encode())):
+        assert list(S.units(wrong)) == list(S.units(text))
+    assert S._GARBLED.sub(S._restored, "â la carte, Ã, Â ") == "â la carte, Ã, Â "
