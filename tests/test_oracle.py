@@ -19,5 +19,5 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["snap_no", "source_name", "entry_id", "change"]
+    assert __spark_entry__.entry(spark).columns == ["file", "source_idx", "line_no", "line"]
     assert set(EVERY) <= set(__spark_entry__.queries())
