@@ -67,15 +67,30 @@ def first_wins(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
-def source_stats(read: DataFrame, kept: DataFrame, effective: DataFrame) -> DataFrame:
-    """(source_name, total, effective, repeat, invalid) of parsed lines, rules
-    after exclusion, and rules after deduplication. ``invalid`` counts lines
-    that are no rule; add failures of a probe by passing them as INVALID."""
-    total = read.groupBy("source_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "INVALID").alias("invalid"))
-    n_kept = kept.groupBy("source_name").agg(F.count(F.lit(1)).alias("kept"))
-    n_effective = effective.groupBy("source_name").agg(F.count(F.lit(1)).alias("effective"))
-    both = total.join(n_kept, "source_name", "left").join(n_effective, "source_name", "left").fillna(0, ["kept", "effective"])
-    return both.select("source_name", "total", "effective", (F.col("kept") - F.col("effective")).alias("repeat"), "invalid")
+def mark_excluded(rules: DataFrame, excludes: DataFrame) -> DataFrame:
+    """``rules`` with ``excluded``, true for those ``exclude`` would drop."""
+    listed = excludes.select("target").where("target is not null").distinct().withColumn("excluded", F.lit(True))
+    return rules.join(listed, "target", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+
+
+def source_stats(read: DataFrame, effective: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(source_name, total, effective, repeat, invalid) of parsed lines with
+    their exclusion mark and of the rules after deduplication; ``failed`` are
+    the rules that a probe dropped, which count as invalid. The lines are read
+    once: total = invalid + excluded + repeat + effective."""
+    counts = read.groupBy("source_name").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") != "OK").alias("bad"),
+        F.count_if((F.col("status") == "OK") & ~F.col("excluded")).alias("kept"))
+    out = _with_count(counts, effective, "effective")
+    out = _with_count(out, failed, "failed") if failed is not None else out.withColumn("failed", F.lit(0))
+    repeat = F.col("kept") - F.col("failed") - F.col("effective")
+    return out.select("source_name", "total", "effective", repeat.alias("repeat"), (F.col("bad") + F.col("failed")).alias("invalid"))
+
+
+def _with_count(sources: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``sources`` with the number of ``rows`` of each, 0 where there are none."""
+    n = rows.groupBy(F.col("source_name").alias("_of")).agg(F.count(F.lit(1)).alias(name))
+    return sources.join(n, F.col("source_name").eqNullSafe(F.col("_of")), "left").drop("_of").fillna(0, [name])
 
 
 def fan_out(rules: DataFrame, outputs: list[dict]) -> DataFrame:

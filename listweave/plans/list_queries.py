@@ -99,8 +99,8 @@ def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = flow.until_error(_lines(spark, sf_dir))
-    return flow.source_stats(read, _kept(spark, sf_dir), _effective(spark, sf_dir))
+    read = flow.mark_excluded(flow.until_error(_lines(spark, sf_dir)), table(spark, sf_dir, "excludes"))
+    return flow.source_stats(read, _effective(spark, sf_dir))
 
 
 def _render(dialect: str) -> Callable[[SparkSession, str], DataFrame]:

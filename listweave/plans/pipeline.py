@@ -6,7 +6,6 @@ import argparse
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from listweave.operators import flow
 from listweave.operators.probe import Lookup, ServerLookup, probed, system_lookup
@@ -29,20 +28,16 @@ class Plan:
 
 def plan(lines: DataFrame, config: Config, lookup: Lookup | None = None) -> Plan:
     p = config.parser
-    read = flow.until_error(lines, p.min_length, p.max_length)
     excludes = lines.sparkSession.createDataFrame([(x,) for x in p.excludes], "target string")
-    kept = flow.exclude(read.where("status = 'OK'"), excludes)
-    failed = None
+    parsed = flow.until_error(lines, p.min_length, p.max_length)
+    read = flow.mark_excluded(parsed, excludes)
+    kept, failed = flow.exclude(parsed.where("status = 'OK'"), excludes), None
     if p.dns_probe.enable:
         lookup = lookup or (ServerLookup(list(p.dns_probe.provider), p.dns_probe.timeout) if p.dns_probe.provider else system_lookup)
-        kept = materialize(probed(kept, lookup, p.dns_probe.parallel), "probed")  # a lookup is never repeated
-        failed = kept.where("not resolves").groupBy("source_name").agg(F.count(F.lit(1)).alias("failed"))
-        kept = kept.where("resolves").drop("resolves")
+        asked = materialize(probed(kept, lookup, p.dns_probe.parallel), "probed")  # a lookup is never repeated
+        kept, failed = asked.where("resolves").drop("resolves"), asked.where("not resolves")
     effective = flow.first_wins(kept)
-    stats = flow.source_stats(read, kept, effective)
-    if failed is not None:
-        stats = stats.join(failed, "source_name", "left").withColumn("invalid", F.col("invalid") + F.coalesce("failed", F.lit(0))).drop("failed")
-    return Plan(read, kept, effective, flow.fan_out(effective, [o.item() for o in config.output]), stats)
+    return Plan(read, kept, effective, flow.fan_out(effective, [o.item() for o in config.output]), flow.source_stats(read, effective, failed))
 
 
 def run(spark: SparkSession, config: Config, lookup: Lookup | None = None, now: str | None = None, root: str | None = None) -> dict[str, int]:

@@ -35,9 +35,10 @@ def test_first_wins_in_source_order(spark):
 
 def test_stats_add_up(spark):
     df = lines(spark, ("HOSTS", "0.0.0.0 a.de", "0.0.0.0 b.de", "junk", "0.0.0.0 a.de"), ("HOSTS", "0.0.0.0 a.de", "# c"), ("HOSTS", "junk"))
+    excludes = spark.createDataFrame([("b.de",), ("b.de",), (None,)], "target string")
     read = flow.until_error(df)
-    kept = flow.exclude(read.where("status = 'OK'"), spark.createDataFrame([("b.de",)], "target string"))
-    stats = {r["source_name"]: tuple(r)[1:] for r in flow.source_stats(read, kept, flow.first_wins(kept)).collect()}
+    kept = flow.exclude(read.where("status = 'OK'"), excludes)
+    stats = {r["source_name"]: tuple(r)[1:] for r in flow.source_stats(flow.mark_excluded(read, excludes), flow.first_wins(kept)).collect()}
     assert stats == {"s0": (4, 1, 1, 1), "s1": (1, 0, 1, 0), "s2": (1, 0, 0, 1)}
 
 
