@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from listweave.llm.bloom import BROADCAST_WORDS, might_contain, repeat_filter, words_for
 from listweave.llm.keyed import HOT_SHARE, join_back, key_text
+from listweave.storage import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +59,7 @@ def collapse(records: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> Data
 def copies(records: DataFrame, broadcast_words: int = BROADCAST_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
     """(first_id, copy_id): every row but the first of its record."""
     split, n = _split(records, broadcast_words)
-    maybe = split.where("maybe_repeated").select("id", "key")
+    # written once: the groups and the way back to the rows both need them
+    maybe = materialize(split.where("maybe_repeated").select("id", "key"), "repeats")
     back = join_back(maybe, _groups(maybe).where("copies > 1"), "key", "copies", n, hot_share)
     return back.where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
