@@ -39,6 +39,11 @@ def p2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("rec_id", "seen")
 
 
+def p2_disproved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of wrong answers: arrivals the filters took for seen and no other record holds."""
+    return _decided(spark, sf_dir).where("route = 'disproved'").select("rec_id")
+
+
 def p2_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_keys.error_report(_decided(spark, sf_dir))
 
@@ -101,7 +106,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies,
-    "p2_found": p2_found, "p2_decisions": p2_decisions, "p2_error_report": p2_error_report,
+    "p2_found": p2_found, "p2_decisions": p2_decisions, "p2_disproved": p2_disproved, "p2_error_report": p2_error_report,
     "p5_found": p5_found, "p5_records": p5_records,
     "p6_ids": p6_ids,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,

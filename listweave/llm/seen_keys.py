@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from listweave.llm.bloom import BROADCAST_WORDS, membership_filter, might_contain, repeat_filter, words_for
 from listweave.llm.keyed import HOT_SHARE, join_back, key_text
+from listweave.storage import materialize
 
 
 def rule_key(origin: Column, target: Column, mode: Column, scope: Column, type: Column) -> Column:
@@ -47,7 +48,8 @@ def seen_before(arrivals: DataFrame, stored: DataFrame, broadcast_words: int = B
     positive = F.col("in_store") | F.col("in_new")
     negatives = probed.where(~positive).select("rec_id", F.lit(False).alias("seen"), F.lit("filter").alias("route"))
 
-    asked = probed.where(positive).select("rec_id", "key", "h", "in_store")
+    # positives are written once: they are counted per key, looked up and joined back
+    asked = materialize(probed.where(positive).select("rec_id", "key", "h", "in_store"), "asked")
     # one row per looked-up key; combined in the tasks first, so hot keys stay small
     keys = asked.groupBy("key").agg(F.min("rec_id").alias("first_rec"), F.count(F.lit(1)).alias("held"), F.bool_or("in_store").alias("in_store"))
     wanted = membership_filter(asked.where("in_store").select("h"), w_new)

@@ -19,4 +19,5 @@ def test_query_equals_sql(spark, name):
 def test_other_queries_run(spark, name):
     if not DATA.exists():
         pytest.skip("no test tables here")
-    assert QUERIES[name](spark, str(DATA)).count() > 0
+    n = QUERIES[name](spark, str(DATA)).count()
+    assert n > 0 or name == "p2_disproved"
