@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BITS_PER_KEY = 16
 #: A broadcast word table has at most this many rows of 16 bytes (about 60 MB as a hash relation).
 BROADCAST_WORDS = 1 << 20
+#: A word that one in so many rows asks for is hot; at most so many words can be.
+HOT_SHARE = 1000
 _MAX_WORDS = 1 << 31
 #: Hashes that one task holds at a time while it builds its part of a filter.
 _FLUSH = 1 << 22
@@ -88,11 +90,28 @@ def repeat_filter(hashes: DataFrame, n_words: int) -> DataFrame:
     return merged.select("word", folded.alias("bits")).where("bits <> 0")
 
 
-def might_contain(df: DataFrame, words: DataFrame, h: str, n_words: int, name: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """``df`` with a boolean column ``name``: whether the filter may hold the
-    hash in column ``h``. False is certain. Null hashes give false."""
-    side = F.broadcast(words) if n_words <= broadcast_words else words
-    side = side.select(F.col("word").alias("_w"), F.col("bits").alias("_b"))
+def might_contain(df: DataFrame, words: DataFrame, h: str, n_words: int, name: str, rows: int, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``df`` (of ``rows`` rows) with a boolean column ``name``: whether the
+    filter may hold the hash in column ``h``. False is certain. Null hashes
+    give false.
+
+    Beyond ``broadcast_words`` the rows are shuffled to the words, but for
+    those of words that one in HOT_SHARE rows asks for: there are at most
+    HOT_SHARE such words, whose bits go to the rows instead.
+    """
+    word = word_of(F.col(h), n_words)
     mask = mask_of(F.col(h))
-    out = df.join(side, word_of(F.col(h), n_words) == F.col("_w"), "left")
-    return out.withColumn(name, F.coalesce(F.col("_b").bitwiseAND(mask) == mask, F.lit(False))).drop("_w", "_b")
+    side = words.select(F.col("word").alias("_w"), F.col("bits").alias("_b"))
+
+    def probed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.coalesce(F.col("_b").bitwiseAND(mask) == mask, F.lit(False))).select(*kept, name)
+
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if n_words <= broadcast_words:
+        return probed(df.join(F.broadcast(side), word == F.col("_w"), "left"))
+    asked = df.where(F.col(h).isNotNull()).groupBy(word.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = asked.where(F.col("_n") * HOT_SHARE >= F.lit(rows)).select("_w")
+    hot_bits = F.broadcast(hot).join(side, "_w", "left").select("_w", F.coalesce("_b", F.lit(0)).alias("_b"))
+    near = df.join(F.broadcast(hot_bits), word == F.col("_w"))
+    far = df.join(F.broadcast(hot), word == F.col("_w"), "left_anti").join(side, word == F.col("_w"), "left")
+    return probed(near).unionByName(probed(far))

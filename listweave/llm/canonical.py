@@ -42,7 +42,7 @@ def _split(records: DataFrame, broadcast_words: int) -> tuple[DataFrame, int]:
     n = records.count()
     n_words = words_for(n)
     hashed = records.select("id", "key", F.xxhash64("key").alias("h"))
-    return might_contain(hashed, repeat_filter(hashed, n_words), "h", n_words, "maybe_repeated", broadcast_words), n
+    return might_contain(hashed, repeat_filter(hashed, n_words), "h", n_words, "maybe_repeated", n, broadcast_words), n
 
 
 def _groups(maybe: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def seen_before(arrivals: DataFrame, stored: DataFrame, broadcast_words: int = B
     old = stored.where("key is not null").select("key", F.xxhash64("key").alias("h"))
     w_old, w_new = words_for(n_old), words_for(n_new)
 
-    probed = might_contain(new, membership_filter(old, w_old), "h", w_old, "in_store", broadcast_words)
-    probed = might_contain(probed, repeat_filter(new, w_new), "h", w_new, "in_new", broadcast_words)
+    probed = might_contain(new, membership_filter(old, w_old), "h", w_old, "in_store", n_new, broadcast_words)
+    probed = might_contain(probed, repeat_filter(new, w_new), "h", w_new, "in_new", n_new, broadcast_words)
     positive = F.col("in_store") | F.col("in_new")
     negatives = probed.where(~positive).select("rec_id", F.lit(False).alias("seen"), F.lit("filter").alias("route"))
 
@@ -54,7 +54,7 @@ def seen_before(arrivals: DataFrame, stored: DataFrame, broadcast_words: int = B
     keys = asked.groupBy("key").agg(F.min("rec_id").alias("first_rec"), F.count(F.lit(1)).alias("held"), F.bool_or("in_store").alias("in_store"))
     wanted = membership_filter(asked.where("in_store").select("h"), w_new)
     # one filter row at most per looked-up hash keeps the stored side to keys that may match
-    on_disk = might_contain(old, wanted, "h", w_new, "asked", broadcast_words).where("asked").select("key").distinct()
+    on_disk = might_contain(old, wanted, "h", w_new, "asked", n_old, broadcast_words).where("asked").select("key").distinct()
     looked_up = keys.join(on_disk.withColumn("stored", F.lit(True)), "key", "left").select("key", "first_rec", "held", F.coalesce("stored", F.lit(False)).alias("stored"))
     rows = join_back(asked.select("rec_id", "key"), looked_up, "key", "held", n_new, hot_share)
     seen = F.col("stored") | (F.col("rec_id") > F.col("first_rec"))

@@ -53,7 +53,7 @@ def hashed(spark, values):
 def test_filters_have_no_false_negatives(spark, limit):
     stored, asked = [f"k{i}" for i in range(3000)], [f"k{i}" for i in range(0, 9000, 3)] + [None]
     n = bloom.words_for(len(stored))
-    out = bloom.might_contain(hashed(spark, asked), bloom.membership_filter(hashed(spark, stored), n), "h", n, "maybe", limit).collect()
+    out = bloom.might_contain(hashed(spark, asked), bloom.membership_filter(hashed(spark, stored), n), "h", n, "maybe", len(asked), limit).collect()
     assert len(out) == len(asked)
     held = set(stored)
     assert all(r["maybe"] for r in out if r["v"] in held)
@@ -61,11 +61,12 @@ def test_filters_have_no_false_negatives(spark, limit):
     assert not next(r for r in out if r["v"] is None)["maybe"]
 
 
-def test_repeats_inside_and_across_tasks(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_repeats_inside_and_across_tasks(spark, limit):
     values = [f"k{i}" for i in range(4000)] + [f"k{i}" for i in range(0, 4000, 10)] + ["hot"] * 3000
     df = hashed(spark, values).repartition(7)
     n = bloom.words_for(len(values))
-    out = bloom.might_contain(df, bloom.repeat_filter(df, n), "h", n, "maybe").collect()
+    out = bloom.might_contain(df, bloom.repeat_filter(df, n), "h", n, "maybe", len(values), limit).collect()
     times = Counter(values)
     assert all(r["maybe"] for r in out if times[r["v"]] > 1)
     assert sum(r["maybe"] for r in out if times[r["v"]] == 1) < 0.02 * len(out)
