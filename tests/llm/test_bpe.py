@@ -52,3 +52,10 @@ def test_documents(spark):
     counts = bpe.encode(df, "doc_id", "text", count_only=True, keep=["h"], long_chars=1000, piece_chars=300)
     assert sorted(map(tuple, counts.collect())) == sorted((i, s, len(ENC.whole(t)) if t else 0) for i, t, s in rows)
     assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 60_000, " " * 60_000 + "x", "\n" * 40_000 + "x\n \n" * 9000, "　" * 30_000, "0123456789" * 5000], ids=["spaces", "spaces and a word", "line ends", "wide spaces", "digits"])
+def test_long_runs_against_the_other_library(text):
+    tokenizers = pytest.importorskip("tokenizers")
+    other = tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    assert joined(text, bpe.PIECE).ids.tolist() == other.encode(text, add_special_tokens=False).ids
