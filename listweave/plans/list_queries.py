@@ -71,9 +71,9 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.starts_with_any(c, "||", "@@").alias("anchored"), text.between(c, "/", "/").alias("pattern"),
         text.sub_before(c, ".").alias("before_first"), text.sub_before(c, ".", last=True).alias("before_last"),
         text.sub_after(c, ".").alias("after_first"), text.sub_after(c, ".", last=True).alias("after_last"),
-        text.sub_between(c, "a", "e").alias("inner"), F.size(text.split_ignore_blank(c, "/")).alias("parts"),
+        text.sub_between(c, "a", "e").alias("inner"), F.size(text.split_ignore_blank(c, "/")).cast("bigint").alias("parts"),
         text.equals_any(c, "||^", "@@").alias("empty_rule"), text.java_trim(c).alias("trimmed"),
-        text.utf16_len(c).alias("units"), text.has_text(c).alias("has_text"))
+        text.utf16_len(c).cast("bigint").alias("units"), text.has_text(c).alias("has_text"))
 
 
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +144,10 @@ def _stand_in(name: str) -> bool:
 
 def incremental_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of two arrivals of lines, kept by the streaming store, equal those of one batch over both."""
-    from listweave.storage import shared_dir
+    from listweave.storage import own_folder
     from listweave.streaming.incremental import replay
 
-    return _flat(replay(_lines(spark, sf_dir), f"{shared_dir(spark)}/listweave")).select("source_idx", "line_no", "origin", "target", "mode", "scope", "type")
+    return _flat(replay(_lines(spark, sf_dir), own_folder(spark))).select("source_idx", "line_no", "origin", "target", "mode", "scope", "type")
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ the session has none and runs in one process.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {KEY} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -37,12 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/listweave/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     The result has no lineage before the files, so a lost executor costs only
-    the tasks it was running. Rows, columns and types are those of ``df``.
+    the tasks it was running. Rows, columns and types are those of ``df``. The
+    files stay until ``clear`` is called, because results are lazy.
     """
-    path = f"{shared_dir(df.sparkSession)}/listweave/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that were not
+    written or collected can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))  # noqa: SLF001
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
