@@ -2,25 +2,34 @@
 
 The document-term matrix X is factored as W H with non-negative parts by
 alternating multiplicative updates (Kullback-Leibler form). Each subject
-anchors one component: its row of H is seeded from the terms of documents
-labelled with it, and a zero stays zero under multiplicative updates, so a
-component keeps meaning its subject. One more component holds what belongs to
-no subject (sentence frames, menus, notices, names). After the last update
-column t of H says which subjects a term speaks for and row d of W is the
-document's subject mixture.
-
-X is written once as token ids and unit lengths. One pass counts the terms and
-settles the vocabulary: terms that labels tie to subjects, and terms that are
-frequent enough for the factorisation to place. An update of H is one more
-pass: each task solves W for its documents with H fixed and adds up its part
-of the numerator, the parts are summed per term, and the new H goes back to
-the tasks. W never leaves the tasks. Terms are hashed into ``BUCKETS`` and the
-vocabulary holds no term of fewer than one in ``RARE`` documents that labels
-do not tie, so H has a bound that does not depend on the size of the corpus.
-
-A document belongs to a subject if at least ``need`` of its units (sentences
-or list items) are about it: the unit's terms, weighted by the document's
-mixture, speak for it more than for any other subject.
+anchors one component and one more is common to all documents (sentence
+frames, menus, notices, names). Labels enter through W alone: a labelled
+document may use the components of its subjects and the common one, nothing
+else. H starts without any difference between the components.
+
+1. Anchoring: updates over the labelled documents, of which there are at most
+   ``max_labelled``. They decide for the terms of ``SEEN`` or more labelled
+   documents which components may hold them; under multiplicative updates a
+   zero stays zero, so a component keeps meaning its subject.
+2. Corpus: updates over all documents, in which every other term starts open,
+   nearly all of it in the common component, and goes where the mixtures of
+   its documents take it.
+
+After each update a subject keeps of a term only what exceeds ``EVEN`` of the
+term's mass in all subjects (and of ``DOUBT`` occurrences more; large
+subjects count less), the rest becomes common; so what subjects share, and what is too rare to tell, speaks
+for none.
+
+Each task solves W for its documents with H fixed and adds up its part of the
+numerator; the parts are summed per term, and H is updated per partition of
+the terms. Terms are hashed into ``BUCKETS``, which bounds H whatever the size
+of the corpus. Only the terms that speak for a subject return to the tasks;
+neither W nor the vocabulary comes to the driver.
+
+A document's units (sentences or list items) are judged by the
+responsibilities of the components for their words, H[s, t] W[s, d] over the
+sum of all components: a unit is about the subject that has more of them than
+the other subjects together, if they come to ``ABOUT`` words.
 
 Defined results
 - One row per document and subject found; none, one or several per document.
@@ -31,7 +40,7 @@ Defined results
   list of subjects are ignored, repeated ones count once; a null label says
   that the document has no subject. Without usable labels nothing is found.
 - Labels of at most ``max_labelled`` documents (smallest hashes of the id) are
-  used for the seeds; the updates and all counts run over every document.
+  used; the corpus updates and the judgement run over every document.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +57,21 @@ from pyspark.sql import functions as F
 
 from listweave.storage import materialize
 
-#: Terms (words and word pairs) are hashed into so many buckets.
-BUCKETS = 1 << 22
+#: Terms (words) are hashed into so many buckets.
+BUCKETS = 1 << 20
 MAX_LABELLED = 50_000
-#: Terms of fewer documents than MIN_DF, or than one in RARE, say nothing unless labels settle them.
-MIN_DF, RARE = 10, 100_000
+#: Terms of so many labelled documents are placed by the labels.
+SEEN = 3
+#: What a subject may share with the others, and the occurrences a term has to outweigh.
+EVEN, DOUBT = 0.5, 5.0
+#: The part of each subject in a term that nothing is known of.
+OPEN = 0.02
+#: Words whose responsibility a subject must have in a unit.
+ABOUT = 0.5
+#: Multiplicative steps that solve W.
+STEPS = 6
+#: Words of one block of documents (a longer document is a block of its own).
+_BLOCK = 1 << 20
 _ITEM, _SHORT, _SENTENCE = 1, 2, 0
 # UTF-8 bytes that were read as one-byte characters (Windows-1252, with the
 # bytes it leaves undefined as control codes): a lead and its followers.
@@ -133,22 +152,13 @@ def tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 @dataclass
 class Block:
-    """Some documents as flat arrays: words, then the word pairs inside units."""
+    """Some documents as flat arrays."""
 
     docs: int
     tok: np.ndarray  # bucket of each word
     unit: np.ndarray  # unit of each word
     unit_doc: np.ndarray  # document of each unit
     kind: np.ndarray  # kind of each unit
-    pair: np.ndarray = field(init=False)  # bucket of each pair
-    pair_unit: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        a, b = self.tok[:-1].astype(np.uint64), self.tok[1:].astype(np.uint64)
-        inside = self.unit[:-1] == self.unit[1:]
-        mixed = (a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA77) + np.uint64(1)) & np.uint64(0xFFFFFFFF)
-        self.pair = ((mixed * np.uint64(0xC2B2AE3D)) >> np.uint64(20)).astype(np.int64)[inside] % BUCKETS
-        self.pair_unit = self.unit[:-1][inside]
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, first: int) -> Block:
@@ -157,117 +167,120 @@ class Block:
         per_doc = np.diff(np.asarray(lens.offsets))
         return cls(batch.num_rows, np.asarray(toks.flatten()).astype(np.int64), np.repeat(np.arange(len(n)), n), np.repeat(np.arange(batch.num_rows), per_doc), np.asarray(kinds.flatten()))
 
-    def counts(self, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, term, occurrences) of the matrix, by document. ``index``
-        maps buckets to the columns of the vocabulary (-1: not in it)."""
-        doc = self.unit_doc[np.concatenate([self.unit, self.pair_unit])]
-        term, width = np.concatenate([self.tok, self.pair]), BUCKETS
-        if index is not None:
-            term, width = index[term], int(index.max()) + 1
-            doc, term = doc[term >= 0], term[term >= 0]
-        cell, n = np.unique(doc * width + term, return_counts=True)
-        return cell // max(width, 1), cell % max(width, 1), n
+
+def _blocks(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """The batches in slices of about _BLOCK words."""
+    for batch in batches:
+        ends = np.asarray(batch.column(first).offsets)[1:].astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            begin = ends[at - 1] if at else np.asarray(batch.column(first).offsets)[0]
+            to = max(at + 1, int(np.searchsorted(ends, begin + _BLOCK, "right")))
+            part = batch.slice(at, to - at)
+            yield part, Block.of(part, first)
+            at = to
 
 
 @dataclass
 class Model:
-    """The vocabulary (sorted buckets), which of its terms are tied to subjects
-    by labels, H (component x term; the last component is the common one) and
-    the mass of each component."""
+    """H by its columns: the components' parts in each term that speaks for a
+    subject (component x term; the last component is the common one), the mass
+    of each component, and the terms that labels have placed. Every other term
+    is common if it is placed, and open if not."""
 
     terms: np.ndarray
-    known: np.ndarray
-    df: np.ndarray
-    H: np.ndarray
+    parts: np.ndarray
     mass: np.ndarray
+    known: np.ndarray
+
+    def columns(self, others: str) -> tuple[np.ndarray, np.ndarray]:
+        """(H, index): columns 0 (an open term), 1 (a common one), then the
+        terms; ``index`` gives each bucket's column. ``others`` says what terms
+        are that labels have not placed: open, common or left out (-1)."""
+        k = len(self.mass) - 1
+        fixed = np.zeros((k + 1, 2))
+        fixed[:, 0] = [OPEN] * k + [1 - OPEN * k]
+        fixed[k, 1] = 1
+        index = np.full(BUCKETS, {"open": 0, "common": 1, "none": -1}[others], np.int32)
+        index[self.known] = 1
+        index[self.terms] = np.arange(len(self.terms)) + 2
+        return (np.concatenate([fixed, self.parts], 1) / np.maximum(self.mass, 1e-9)[:, None]).astype(np.float32), index
+
+
+def blank(known: np.ndarray, sizes: np.ndarray) -> Model:
+    """The start: components differ in nothing but the documents of their subject."""
+    mass = np.append(np.maximum(sizes, 1.0), max(sizes.sum(), 1.0))
+    return Model(known, np.repeat(mass[:, None] / mass.sum(), len(known), 1), mass, known)
+
+
+def _scaled(h: np.ndarray) -> np.ndarray:
+    return h / (h.sum(0) + 1e-30)
+
+
+def mixtures(block: Block, H: np.ndarray, col: np.ndarray, allowed: np.ndarray | None = None, steps: int = STEPS) -> np.ndarray:
+    """W (component x document) with H fixed. ``col`` gives each word's column
+    of H (-1: not in it), ``allowed`` the subjects a document may have."""
+    k, doc = len(H) - 1, block.unit_doc[block.unit]
+    plain = [np.bincount(doc[col == c], minlength=block.docs).astype(np.float32) for c in (0, 1)]
+    told = np.flatnonzero(col >= 2)
+    cell, n = np.unique(doc[told] * H.shape[1] + col[told], return_counts=True)
+    row, h, n = cell // H.shape[1], H[:, cell % H.shape[1]], n.astype(np.float32)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    W = np.ones((k + 1, block.docs), np.float32)
+    for step in range(steps):
+        if allowed is not None:
+            W[:k] *= allowed
+        new = _scaled(H[:, :1] * W) * plain[0]
+        new[k] += plain[1]
+        if len(row):
+            new[:, row[first]] += np.add.reduceat(_scaled(h * W[:, row]) * n, first, axis=1)
+        W = new
+    return W
+
+
+def _sums(block: Block, H: np.ndarray, col: np.ndarray, W: np.ndarray, acc: np.ndarray) -> None:
+    """Adds the responsibilities of the components for every word to ``acc``
+    (component x bucket); words that can only be common are added to its last
+    column."""
+    doc = block.unit_doc[block.unit]
+    acc[-1, -1] += np.count_nonzero(col == 1)
+    opened = _scaled(H[:, :1] * W)
+    for at, part in ((np.flatnonzero(col == 0), None), (np.flatnonzero(col >= 2), col)):
+        own, place = np.unique(block.tok[at], return_inverse=True)
+        if not len(at):
+            continue
+        r = opened[:, doc[at]] if part is None else _scaled(H[:, col[at]] * W[:, doc[at]])
+        for s in range(len(H)):
+            acc[s, own] += np.bincount(place, r[s], len(own))
+
+
+def apart(N: np.ndarray, mass: np.ndarray, doubt: float, even: float = EVEN) -> np.ndarray:
+    """Numerators (component x term) after what subjects share has become common.
+    Large subjects count less by the square root of their ``mass``."""
+    size = np.maximum(mass[:-1, None], 1e-9)
+    weight = np.sqrt(size.mean() / size)
+    level = N[:-1] * weight
+    share = level / (level.sum(0) + doubt * weight + 1e-20)
+    kept = N[:-1] * np.clip((share - even) / (1 - even), 0, 1)
+    return np.concatenate([kept, N[-1:] + (N[:-1] - kept).sum(0)])
+
 
-    def index(self) -> np.ndarray:
-        at = np.full(BUCKETS, -1, np.int64)
-        at[self.terms] = np.arange(len(self.terms))
-        return at
-
-
-def seed(terms: np.ndarray, docs: int, df: np.ndarray, labelled: np.ndarray, by_subject: np.ndarray) -> Model:
-    """Vocabulary and anchors from document counts per term: all documents,
-    labelled ones, and labelled ones of each subject. Terms that labels show to
-    be common to the subjects are left out, as are rare ones."""
-    share = (by_subject + 0.1) / (labelled + 1.0)
-    known = (labelled >= 3) & (share.max(0) > 0.4)
-    open_ = ~known & (labelled < 6) & (df >= max(MIN_DF, docs / RARE))
-    keep = np.flatnonzero(known | open_)
-    keep = keep[np.argsort(terms[keep])]
-    terms, df, known, share = terms[keep], df[keep], known[keep], share[:, keep]
-    H = np.zeros((len(by_subject) + 1, len(keep)))
-    H[:-1] = np.where(known, np.where(share > 0.15, df * share**2, 0), df)
-    H[-1] = np.where(known, 0, df)
-    return Model(terms, known, df, (H / max(df.sum(), 1.0)).astype(np.float32), np.ones(len(H)))
-
-
-def mixtures(doc: np.ndarray, term: np.ndarray, n: np.ndarray, docs: int, model: Model, allowed: np.ndarray | None = None, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """W (component x document) with H fixed, and the responsibilities of the
-    components for the matrix cells."""
-    n = n.astype(np.float32)
-    h = model.H[:, term]
-    W = np.ones((len(model.H), docs), np.float32)
-    if allowed is not None:
-        W[:-1] *= allowed
-    r = h
-    if len(doc):
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        rows = doc[first]
-        for _ in range(steps):
-            r = h * W[:, doc]
-            r *= n / (r.sum(0) + 1e-20)
-            W[:, :] = 0
-            W[:, rows] = np.add.reduceat(r, first, axis=1)
-            if allowed is not None:
-                W[:-1] *= allowed
-    return W, r
-
-
-def updated(model: Model, numerator: np.ndarray) -> Model:
-    """The next H: the summed responsibilities, each component scaled to one.
-    Open terms keep a little of every component so that later passes may still
-    move them."""
-    mass = numerator.sum(1)
-    H = numerator / np.maximum(mass[:, None], 1e-9)
-    H += np.where(model.known, 0, 1e-3 * model.df / max(model.df.sum(), 1.0))
-    H[-1, model.known] = 0
-    return Model(model.terms, model.known, model.df, (H / np.maximum(H.sum(1, keepdims=True), 1e-9)).astype(np.float32), mass)
-
-
-def votes(model: Model, clear: float = 0.85) -> np.ndarray:
-    """(subject x term): how far a term speaks for each subject; 0 for terms
-    that are neither settled by labels nor clear by the factorisation."""
-    A = model.H.astype(np.float64) * model.mass[:, None]
-    A /= A.sum(0) + 1e-20
-    use = model.known | (A[:-1].max(0) >= clear) if A.size else model.known
-    return np.where(use, A[:-1], 0).astype(np.float32)
-
-
-def unit_subjects(block: Block, W: np.ndarray, V: np.ndarray, index: np.ndarray) -> np.ndarray:
+def unit_subjects(block: Block, H: np.ndarray, col: np.ndarray, W: np.ndarray, about: float = ABOUT) -> np.ndarray:
     """(document x subject): units about the subject."""
-    subjects, n_units = len(V), len(block.unit_doc)
-    mix = W[:-1] / (W[:-1].sum(0) + 1e-9) * 0.7 + 0.3 / subjects
-    heard = V.max(0)
-    loud = np.zeros(n_units, np.float32)
-    score = np.zeros((subjects, n_units))
-    for t, u in ((block.tok, block.unit), (block.pair, block.pair_unit)):
-        t = index[t]
-        at = np.flatnonzero((t >= 0) & (heard[t] > 0))
-        t, u = t[at], u[at]
-        np.maximum.at(loud, u, heard[t])
-        for s in range(subjects):
-            score[s] += np.bincount(u, V[s, t], n_units)
-    about = (score * mix[:, block.unit_doc]).argmax(0)
-    speaks = loud >= 0.5
+    k, n_units = len(H) - 1, len(block.unit_doc)
+    at = np.flatnonzero(col >= 2)
+    unit = block.unit[at]
+    r = _scaled(H[:, col[at]] * W[:, block.unit_doc[unit]])
+    score = np.stack([np.bincount(unit, r[s], n_units) for s in range(k)])
+    best, most = score.argmax(0), score.max(0)
+    speaks = (most >= about) & (2 * most > score.sum(0))
     brief = block.kind != _SENTENCE
     same = block.unit_doc[1:] == block.unit_doc[:-1]
     pairs = same & (brief & speaks)[1:] & (brief & speaks)[:-1]
     listed = np.r_[pairs, False] | np.r_[False, pairs]
     counts_as = speaks & ((block.kind != _SHORT) | listed)
-    found = np.zeros((block.docs, subjects), np.int64)
-    np.add.at(found, (block.unit_doc[counts_as], about[counts_as]), 1)
+    found = np.zeros((block.docs, k), np.int64)
+    np.add.at(found, (block.unit_doc[counts_as], best[counts_as]), 1)
     return found
 
 
@@ -277,20 +290,15 @@ _PARTS = "term int, v array<double>"
 
 
 def _rows(term: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Rows (term, v) of one task; ``values`` is (column x term)."""
+    """Rows (term, v); ``values`` is (column x term)."""
     v = pa.ListArray.from_arrays(pa.array(np.arange(len(term) + 1) * len(values), pa.int32()), pa.array(values.T.ravel().astype(np.float64)))
     return pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), v], ["term", "v"])
 
 
-def _summed(parts: DataFrame, columns: int, keep: str = "true") -> tuple[np.ndarray, np.ndarray]:
-    """Terms and their summed values (column x term); only terms that pass
-    ``keep`` reach the driver, the vocabulary at most."""
-    sums = parts.groupBy("term").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(columns)]).alias("v")).where(keep)
-    table = sums.toArrow()
-    if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros((columns, 0))
-    v = np.asarray(table.column("v").combine_chunks().flatten()).reshape(-1, columns).T
-    return np.asarray(table.column("term")).astype(np.int64), v
+def _table(batch: pa.RecordBatch | pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    v = batch.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return np.asarray(batch.column("term")).astype(np.int64), np.asarray(v.flatten()).reshape(-1, columns).T
 
 
 def label_masks(labels: DataFrame, subjects: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -304,62 +312,78 @@ def label_masks(labels: DataFrame, subjects: list[str], max_labelled: int = MAX_
     return clean.groupBy("doc_id").agg(F.bit_or("bit").alias("mask")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def _masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each document is labelled, and the bits of its subjects."""
-    mask = batch.column(1)
-    return np.asarray(mask.is_valid()), np.asarray(mask.fill_null(0))
-
-
-def fit(matrix: DataFrame, subjects: list[str], passes: int = 3) -> Model | None:
-    """The factorisation of ``matrix`` (doc_id, mask, toks, lens, kinds)."""
-    k, docs = len(subjects), matrix.count()
-
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(BUCKETS, np.int32)
+def placed_terms(labelled: DataFrame) -> np.ndarray:
+    """The terms of SEEN or more labelled documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = np.zeros(BUCKETS, np.int64)
+        for _, block in _blocks(batches, 2):
+            cell = np.unique(block.unit_doc[block.unit] * BUCKETS + block.tok)
+            docs += np.bincount(cell % BUCKETS, minlength=BUCKETS)
+        own = np.flatnonzero(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(docs[own])], ["term", "n"])
+
+    sums = labelled.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = sums.where(F.col("n") >= SEEN).select("term").toArrow()
+    return np.sort(np.asarray(found.column("term")).astype(np.int64))
+
+
+def updated(matrix: DataFrame, model: Model, others: str, doubt: float) -> Model:
+    """The model after one update over the documents of ``matrix``
+    (doc_id, mask, toks, lens, kinds). What comes back to the driver are the
+    terms that speak for a subject and a row of masses per partition."""
+    shared = matrix.sparkSession.sparkContext.broadcast(model)
+    parts = len(model.mass)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        H, index = shared.value.columns(others)
+        acc = np.zeros((parts, BUCKETS + 1))
+        for batch, block in _blocks(batches, 2):
+            mask = np.asarray(batch.column(1).fill_null(-1))  # no label: every bit is set
+            allowed = ((mask >> np.arange(parts - 1)[:, None]) & 1).astype(np.float32)
+            col = index[block.tok]
+            _sums(block, H, col, mixtures(block, H, col, allowed), acc)
+        own = np.flatnonzero(acc.any(0))
+        yield _rows(own, acc[:, own])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(parts)
         for batch in batches:
-            doc, term, _ = Block.of(batch, 2).counts()
-            df += np.bincount(term, minlength=BUCKETS).astype(np.int32)
-            has, mask = _masks(batch)
-            doc, term = doc[has[doc]], term[has[doc]]
-            if len(doc):
-                own, place = np.unique(term, return_inverse=True)
-                sums = [np.bincount(place, minlength=len(own)), *[np.bincount(place, (mask[doc] >> s) & 1, len(own)) for s in range(k)]]
-                yield _rows(own, np.stack([np.zeros(len(own)), *sums]))
-        own = np.flatnonzero(df)
-        yield _rows(own, np.concatenate([df[None, own], np.zeros((k + 1, len(own)))]))
-
-    terms, counts = _summed(matrix.mapInArrow(stats, _PARTS), k + 2, f"v[1] >= 3 or v[0] >= {max(MIN_DF, docs / RARE)}")
-    model = seed(terms, docs, counts[0], counts[1], counts[2:])
-    if not model.known.any():
+            term, N = _table(batch, parts)
+            N = apart(N, shared.value.mass, doubt)
+            mass += N.sum(1)
+            speaks = (N[:-1].max(0) > 0) & (term < BUCKETS)
+            yield _rows(term[speaks], _scaled(N[:, speaks]))
+        yield _rows(np.array([-1]), mass[:, None])
+
+    sums = matrix.mapInArrow(solve, _PARTS).groupBy("term").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(parts)]).alias("v"))
+    term, values = _table(sums.mapInArrow(place, _PARTS).toArrow(), parts)
+    shared.unpersist()
+    order = np.argsort(term, kind="stable")
+    term, values = term[order], values[:, order]
+    n = int(np.searchsorted(term, 0))
+    return Model(term[n:], values[:, n:], values[:, :n].sum(1), model.known)
+
+
+def fit(matrix: DataFrame, subjects: list[str], anchoring: int = 3, passes: int = 2) -> Model | None:
+    """The factorisation of ``matrix`` (doc_id, mask, toks, lens, kinds, labelled)."""
+    labelled = matrix.where("labelled")
+    known = placed_terms(labelled)
+    if not len(known):
         return None
-    width = len(model.terms)
+    bits = [F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).alias(f"n{i}") for i in range(len(subjects))]
+    model = blank(known, np.array(labelled.agg(*bits).first(), float))
+    for _ in range(anchoring):
+        model = updated(labelled, model, "none", 0.0)
     for _ in range(passes):
-        shared = matrix.sparkSession.sparkContext.broadcast(model)
-
-        def update(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            index, acc = model.index(), np.zeros((k + 1, width))
-            for batch in batches:
-                has, mask = _masks(batch)
-                allowed = np.where(has, (mask >> np.arange(k)[:, None]) & 1, 1)
-                doc, term, n = Block.of(batch, 2).counts(index)
-                _, r = mixtures(doc, term, n, batch.num_rows, model, np.maximum(allowed, 0.05).astype(np.float32))
-                for s in range(k + 1):
-                    acc[s] += np.bincount(term, r[s], width)
-            own = np.flatnonzero(acc.any(0))
-            yield _rows(own, acc[:, own])
-
-        at, sums = _summed(matrix.mapInArrow(update, _PARTS), k + 1)
-        numerator = np.zeros((k + 1, width))
-        numerator[:, at] = sums
-        model = updated(model, numerator)
-        shared.unpersist()
+        model = updated(matrix, model, "open", DOUBT)
     return model
 
 
-def judged(matrix: DataFrame, model: Model | None, subjects: list[str]) -> DataFrame:
+def judged(matrix: DataFrame, model: Model | None, subjects: list[str], mixed: bool = True) -> DataFrame:
     """(doc_id, subject, units, weight): subjects with at least one unit, and
-    their share of the document's mixture (the common component included)."""
+    their share of the document's mixture (the common component included).
+    ``mixed`` False holds every mixture at one, to show what W does."""
     spark, kind = matrix.sparkSession, matrix.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, subject string, units bigint, weight double"
     if model is None:
@@ -367,22 +391,28 @@ def judged(matrix: DataFrame, model: Model | None, subjects: list[str]) -> DataF
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        V, index, names = votes(model), model.index(), pa.array(subjects)
-        for batch in batches:
-            block = Block.of(batch, 2)
-            W, _ = mixtures(*block.counts(index), batch.num_rows, model)
-            found = unit_subjects(block, W, V, index)
+        H, index = shared.value.columns("common")
+        names = pa.array(subjects)
+        for batch, block in _blocks(batches, 2):
+            col = index[block.tok]
+            W = mixtures(block, H, col) if mixed else np.ones((len(H), block.docs), np.float32)
+            found = unit_subjects(block, H, col, W)
             d, s = np.nonzero(found)
-            weight = (W[:-1] / (W.sum(0) + 1e-9)).T[d, s]
+            weight = _scaled(W)[s, d]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), names.take(pa.array(s)), pa.array(found[d, s]), pa.array(weight.astype(np.float64))], ["doc_id", "subject", "units", "weight"])
 
     return matrix.mapInArrow(judge, schema)
 
 
-def subject_units(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text: str = "text", passes: int = 3, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Fits on the corpus and judges every document of it; see ``judged``."""
+def document_terms(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The matrix (doc_id, mask, toks, lens, kinds, labelled), written once with
+    the labelled documents in files of their own."""
     masks = F.broadcast(label_masks(labels, subjects, max_labelled))  # at most max_labelled rows of 16 bytes
-    matrix = tokenized(documents, doc_id, text).join(masks, "doc_id", "left").select("doc_id", "mask", "toks", "lens", "kinds")
-    matrix = materialize(matrix, "matrix")
-    return judged(matrix, fit(matrix, subjects, passes), subjects)
+    matrix = tokenized(documents, doc_id, text).join(masks, "doc_id", "left")
+    return materialize(matrix.select("doc_id", "mask", "toks", "lens", "kinds", F.col("mask").isNotNull().alias("labelled")), "matrix", "labelled")
+
+
+def subject_units(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Fits on the corpus and judges every document of it; see ``judged``."""
+    matrix = document_terms(documents, labels, subjects, doc_id, text, max_labelled)
+    return judged(matrix, fit(matrix, subjects), subjects)

@@ -58,28 +58,78 @@ def test_units():
     assert sum(len(w) for w, _ in S.units("word " * 300_000)) == 300_000
 
 
-def test_updates_raise_the_fit_and_keep_anchors():
+def block(docs):
+    """Documents as lists of units, these as lists of buckets."""
+    tok = [t for d in docs for u in d for t in u]
+    lens, per_doc = [len(u) for d in docs for u in d], [len(d) for d in docs]
+    return S.Block(len(docs), np.array(tok), np.repeat(np.arange(len(lens)), lens), np.repeat(np.arange(len(docs)), per_doc), np.zeros(len(lens), np.int8))
+
+
+def test_mixtures_against_plain_updates():
     rnd = np.random.default_rng(0)
-    doc, term = np.repeat(np.arange(60), 20), rnd.integers(0, 50, 1200)
-    n = rnd.integers(1, 4, 1200)
-    df, labelled, by = np.bincount(term, minlength=50) + 10.0, np.zeros(50), np.zeros((2, 50))
-    labelled[:10], by[0, :5], by[1, 5:10] = 5, 5, 5
-    model, fits = S.seed(np.arange(50) * 3, 60, df, labelled, by), []
-    assert model.known.sum() == 10 and not model.H[0, 5:10].any() and not model.H[2, :10].any()
-    for _ in range(6):
-        W, r = S.mixtures(doc, term, n, 60, model, steps=8)
-        fits.append(float((n * np.log((model.H[:, term] * W[:, doc]).sum(0) / W.sum(0)[doc] + 1e-12)).sum()))
-        model = S.updated(model, np.stack([np.bincount(term, r[k], 50) for k in range(3)]))
-        assert (model.H >= 0).all() and not model.H[0, 5:10].any() and not model.H[2, :10].any()
-    assert all(b > a - abs(a) * 1e-3 for a, b in zip(fits[1:], fits[2:]))
-
-
-def test_vocabulary():
-    terms, labelled = np.array([7, 3, 5, 1]), np.array([4.0, 9.0, 0.0, 0.0])
-    model = S.seed(terms, 100, np.array([4.0, 50.0, 20.0, 2.0]), labelled, np.array([[4.0, 3.0, 0.0, 0.0]]))
-    assert model.terms.tolist() == [5, 7] and model.known.tolist() == [False, True]  # 3 is common, 1 is rare
-    index = model.index()
-    assert (index[7], index[5], index[3]) == (1, 0, -1)
+    docs = [[list(rnd.integers(0, 40, rnd.integers(1, 6))) for _ in range(rnd.integers(1, 5))] for _ in range(30)] + [[]]
+    b = block(docs)
+    model = S.Model(np.arange(5, 20), rnd.random((4, 15)), np.array([1.0, 2.0, 3.0, 9.0]), np.arange(25))
+    H, index = model.columns("open")
+    allowed = (rnd.random((3, len(docs))) < 0.7).astype(np.float32)
+    got = S.mixtures(b, H, index[b.tok], allowed, steps=4)
+    acc = np.zeros((4, S.BUCKETS + 1))
+    S._sums(b, H, index[b.tok], got, acc)
+    numerator = np.zeros((4, 40))
+    for d, units in enumerate(docs):
+        words = [t for u in units for t in u]
+        h, w = H[:, index[words]].astype(float), np.ones(4)
+        for _ in range(4):
+            w[:3] *= allowed[:, d]
+            w = (h * w[:, None] / ((h * w[:, None]).sum(0) + 1e-30)).sum(1) if words else np.zeros(4)
+        assert np.allclose(got[:, d], w, atol=1e-4)
+        for t in words:
+            r = H[:, index[t]] * w
+            numerator[:, t] += r / (r.sum() + 1e-30)
+    common = list(range(5)) + list(range(20, 25))  # placed, but speak for no subject: only their number counts
+    assert acc[3, -1] == sum(t in common for u in docs for x in u for t in x)
+    rest = [t for t in range(40) if t not in common]
+    assert np.allclose(acc[:, rest], numerator[:, rest], atol=1e-3) and not acc[:, common].any()
+
+
+def test_what_subjects_share_becomes_common():
+    N = np.array([[9.0, 5.0, 3.0, 1.0], [0.0, 5.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0]])
+    out = S.apart(N, np.ones(3), 0.0)
+    assert np.allclose(out.sum(0), N.sum(0)) and out[0, 0] == 9 and not out[:2, 1].any()
+    assert out[0, 2] == 3 * 0.5 and out[1, 2] == 0
+    assert S.apart(N, np.array([81.0, 3.0, 1.0]), 0.0)[0, 2] == 0  # no more than its size lets expect
+    assert S.apart(N, np.ones(3), S.DOUBT)[0, 3] == 0  # once is too rare to tell
+
+
+def found(matrix, names, mixed=True, **passes):
+    out = S.judged(matrix, S.fit(matrix, names, **passes), names, mixed).where("units >= 3").collect()
+    return {(r["doc_id"], r["subject"]) for r in out}
+
+
+def f1(got, truth):
+    return 2 * len(got & truth) / max(len(got) + len(truth), 1)
+
+
+def test_rows_come_from_the_factorisation(spark):
+    """Without updates nothing is found; few labels need the corpus; without
+    mixtures shared words are taken for the wrong subject."""
+    shared = ["court", "press", "roll", "charge"]  # mostly about food, as most documents are
+    rnd, rows = random.Random(7), []
+    for i in range(900):
+        own = rnd.choices(sorted(TERMS), [5, 2, 2])[0]
+        sentences = [rnd.choice(FRAMES).format(*rnd.sample(shared, 2)) for _ in range(3)] + [rnd.choice(FRAMES).format(*rnd.sample(TERMS[own], 2)) for _ in range(3)]
+        rows.append((i, "\n".join(sentences) + "\n" + rnd.choice(FILLER), own))
+    docs, names = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), sorted(TERMS)
+    truth = {(i, s) for i, _, s in rows}
+    matrix = S.document_terms(docs, spark.createDataFrame([(i, s, "r") for i, _, s in rows[:60]], "doc_id bigint, subject string, labelled_by string"), names)
+    whole = f1(found(matrix, names), truth)
+    assert whole > 0.97
+    assert found(matrix, names, anchoring=0, passes=0) == set()
+    few = S.document_terms(docs, spark.createDataFrame([(i, s, "r") for i, _, s in rows[:30]], "doc_id bigint, subject string, labelled_by string"), names)
+    some = f1(found(few, names), truth)
+    assert some > 0.9
+    assert f1(found(few, names, passes=0), truth) < some - 0.03
+    assert f1(found(few, names, mixed=False), truth) < some - 0.03
 
 
 def test_garbled_text_is_restored():
