@@ -1,11 +1,16 @@
 """Mergeable Bloom filters as tables of 64-bit words.
 
-A key's 64-bit hash picks one word (its upper half) and four bits in it (its
-lower 24 bits). The filter is the table of its non-zero words, so it is built
-and merged by ordinary aggregation, partition by partition, and never has to
-fit on the driver. A probe is an equi-join on the word: the word table is
-broadcast while the number of words it can have is under ``BROADCAST_WORDS``
-(a bound known before it is built) and shuffled beyond.
+A key's 64-bit hash picks one word (by its upper 40 bits) and four bits in it
+(by its lower 24 bits). The filter is the table of its non-zero words, so it
+is built and merged by ordinary aggregation, partition by partition, and never
+has to fit on the driver.
+
+To be probed the words are packed, ``SLOTS`` to a block, and the blocks are
+cut into segments of at most ``SEGMENT_BLOCKS`` (about 64 MB). A segment is
+broadcast and the rows whose hashes fall into it are tested where they stand:
+no row is shuffled to be probed, whatever the size of the filter. A filter of
+one segment takes one reading of the rows; for a larger one the rows are first
+written into a folder per segment, so that each is still read once.
 """
 
 from __future__ import annotations
@@ -17,22 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 16
-#: A broadcast word table has at most this many rows of 16 bytes (about 60 MB as a hash relation).
-BROADCAST_WORDS = 1 << 20
-#: A word that one in so many rows asks for is hot; at most so many words can be.
-HOT_SHARE = 1000
-_MAX_WORDS = 1 << 31
+from listweave.storage import materialize
+
+BITS_PER_KEY = 12
+#: Words of a block, and the blocks of a segment: 2^19 blocks of 128 bytes, enough for 44 million keys.
+SLOTS, SEGMENT_BLOCKS = 16, 1 << 19
 #: Hashes that one task holds at a time while it builds its part of a filter.
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 
 
-def words_for(keys: int) -> int:
-    return min(max(keys * BITS_PER_KEY // 64, 1), _MAX_WORDS - 1)
+def words_for(keys: int, bits_per_key: int = BITS_PER_KEY) -> int:
+    return max(keys * bits_per_key // 64, 1)
 
 
 def word_of(h: Column, n_words: int) -> Column:
-    return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * F.lit(n_words).cast("bigint"), 32)
+    return F.shiftrightunsigned(h, 24) % F.lit(n_words).cast("bigint")
 
 
 def mask_of(h: Column) -> Column:
@@ -50,11 +54,13 @@ def membership_filter(hashes: DataFrame, n_words: int) -> DataFrame:
 def _words(hashes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, bits of the hashes seen at least once, and at least twice."""
     u, times = np.unique(hashes.view(np.uint64), return_counts=True)
-    word = ((u >> np.uint64(32)) * np.uint64(n_words)) >> np.uint64(32)
+    word = (u >> np.uint64(24)) % np.uint64(n_words)
+    order = np.argsort(word, kind="stable")
+    u, times, word = u[order], times[order], word[order]
     mask = np.zeros(len(u), np.uint64)
     for i in range(4):
         mask |= np.uint64(1) << ((u >> np.uint64(6 * i)) & np.uint64(63))
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])  # the words rise with the hashes
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     once = np.bitwise_or.reduceat(mask, first)
     again = np.bitwise_or.reduceat(np.where(times > 1, mask, np.uint64(0)), first)
     return word[first].astype(np.int64), once.view(np.int64), again.view(np.int64)
@@ -90,28 +96,36 @@ def repeat_filter(hashes: DataFrame, n_words: int) -> DataFrame:
     return merged.select("word", folded.alias("bits")).where("bits <> 0")
 
 
-def might_contain(df: DataFrame, words: DataFrame, h: str, n_words: int, name: str, rows: int, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """``df`` (of ``rows`` rows) with a boolean column ``name``: whether the
-    filter may hold the hash in column ``h``. False is certain. Null hashes
-    give false.
-
-    Beyond ``broadcast_words`` the rows are shuffled to the words, but for
-    those of words that one in HOT_SHARE rows asks for: there are at most
-    HOT_SHARE such words, whose bits go to the rows instead.
-    """
-    word = word_of(F.col(h), n_words)
-    mask = mask_of(F.col(h))
-    side = words.select(F.col("word").alias("_w"), F.col("bits").alias("_b"))
+def packed(words: DataFrame) -> DataFrame:
+    """(block, b0, b1, ...): SLOTS words a row, 0 for absent ones."""
+    slot = F.pmod("word", F.lit(SLOTS))
+    return words.groupBy(F.shiftright("word", SLOTS.bit_length() - 1).alias("block")).agg(*[F.coalesce(F.bit_or(F.when(slot == i, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"b{i}") for i in range(SLOTS)])
 
-    def probed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(name, F.coalesce(F.col("_b").bitwiseAND(mask) == mask, F.lit(False))).select(*kept, name)
 
+def might_contain(df: DataFrame, words: DataFrame, h: str, n_words: int, name: str, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
+    """``df`` with a boolean column ``name``: whether the filter may hold the
+    hash in column ``h``. False is certain. Null hashes give false."""
+    word, mask = word_of(F.col(h), n_words), mask_of(F.col(h))
+    block = F.shiftright(word, SLOTS.bit_length() - 1)
     kept = [F.col(f"`{c}`") for c in df.columns]
-    if n_words <= broadcast_words:
-        return probed(df.join(F.broadcast(side), word == F.col("_w"), "left"))
-    asked = df.where(F.col(h).isNotNull()).groupBy(word.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = asked.where(F.col("_n") * HOT_SHARE >= F.lit(rows)).select("_w")
-    hot_bits = F.broadcast(hot).join(side, "_w", "left").select("_w", F.coalesce("_b", F.lit(0)).alias("_b"))
-    near = df.join(F.broadcast(hot_bits), word == F.col("_w"))
-    far = df.join(F.broadcast(hot), word == F.col("_w"), "left_anti").join(side, word == F.col("_w"), "left")
-    return probed(near).unionByName(probed(far))
+    segments = -(-(n_words // SLOTS + 1) // segment_blocks)
+    blocks = packed(words)
+    if segments > 1:
+        segment = F.coalesce(F.floor(block / segment_blocks), F.lit(0)).cast("int")
+        df = materialize(df.withColumn("_segment", segment), "segments", "_segment")
+        blocks = materialize(blocks.withColumn("_segment", F.floor(F.col("block") / segment_blocks).cast("int")), "filter", "_segment")
+
+    def probed(rows: DataFrame, side: DataFrame) -> DataFrame:
+        side = F.broadcast(side.select(F.col("block").alias("_block"), *[F.col(f"b{i}").alias(f"_b{i}") for i in range(SLOTS)]))
+        bits = F.lit(0).cast("bigint")
+        for i in range(SLOTS):
+            bits = F.when(F.pmod(word, F.lit(SLOTS)) == i, F.col(f"_b{i}")).otherwise(bits)
+        return rows.join(side, block == F.col("_block"), "left").select(*kept, F.coalesce(bits.bitwiseAND(mask) == mask, F.lit(False)).alias(name))
+
+    if segments == 1:
+        return probed(df, blocks)
+    out = None
+    for i in range(segments):
+        part = probed(df.where(F.col("_segment") == i), blocks.where(F.col("_segment") == i))
+        out = part if out is None else out.unionByName(part)
+    return out

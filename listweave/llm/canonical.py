@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listweave.llm.bloom import BROADCAST_WORDS, might_contain, repeat_filter, words_for
+from listweave.llm.bloom import SEGMENT_BLOCKS, might_contain, repeat_filter, words_for
 from listweave.llm.keyed import HOT_SHARE, join_back, key_text
 from listweave.storage import materialize
 
@@ -38,28 +38,29 @@ def canonical_key(same: list[Column], loose: list[Column]) -> Column:
     return key_text(*same, *[canonical_runs(c) for c in loose])
 
 
-def _split(records: DataFrame, broadcast_words: int) -> tuple[DataFrame, int]:
+def _split(records: DataFrame, segment_blocks: int) -> tuple[DataFrame, int]:
+    """(id, key, maybe_repeated), written once; only possible repeats keep their key."""
     n = records.count()
     n_words = words_for(n)
     hashed = records.select("id", "key", F.xxhash64("key").alias("h"))
-    return might_contain(hashed, repeat_filter(hashed, n_words), "h", n_words, "maybe_repeated", n, broadcast_words), n
+    probed = might_contain(hashed, repeat_filter(hashed, n_words), "h", n_words, "maybe_repeated", segment_blocks)
+    return materialize(probed.select("id", F.when(F.col("maybe_repeated"), F.col("key")).alias("key"), "maybe_repeated"), "repeats", "maybe_repeated"), n
 
 
 def _groups(maybe: DataFrame) -> DataFrame:
     return maybe.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def collapse(records: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def collapse(records: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
     """(first_id, copies) per record of ``records`` (id, key)."""
-    split, _ = _split(records, broadcast_words)
+    split, _ = _split(records, segment_blocks)
     singles = split.where("not maybe_repeated").select(F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
     return singles.unionByName(_groups(split.where("maybe_repeated")).select("first_id", "copies"))
 
 
-def copies(records: DataFrame, broadcast_words: int = BROADCAST_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
+def copies(records: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_share: int = HOT_SHARE) -> DataFrame:
     """(first_id, copy_id): every row but the first of its record."""
-    split, n = _split(records, broadcast_words)
-    # written once: the groups and the way back to the rows both need them
-    maybe = materialize(split.where("maybe_repeated").select("id", "key"), "repeats")
+    split, n = _split(records, segment_blocks)
+    maybe = split.where("maybe_repeated").select("id", "key")
     back = join_back(maybe, _groups(maybe).where("copies > 1"), "key", "copies", n, hot_share)
     return back.where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listweave.llm.bloom import BROADCAST_WORDS, membership_filter, might_contain, repeat_filter, words_for
+from listweave.llm.bloom import SEGMENT_BLOCKS, membership_filter, might_contain, repeat_filter, words_for
 from listweave.llm.keyed import HOT_SHARE, join_back, key_text
 from listweave.storage import materialize
 
@@ -35,7 +35,7 @@ def rule_key(origin: Column, target: Column, mode: Column, scope: Column, type:
     return F.when(type.eqNullSafe(F.lit("UNKNOWN")), whole).otherwise(F.concat(F.lit("K"), key_text(target, mode, scope, type)))
 
 
-def seen_before(arrivals: DataFrame, stored: DataFrame, broadcast_words: int = BROADCAST_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
+def seen_before(arrivals: DataFrame, stored: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_share: int = HOT_SHARE) -> DataFrame:
     """(rec_id, seen, route) of every row of ``arrivals`` (rec_id, key), given
     ``stored`` (key)."""
     n_new, n_old = arrivals.count(), stored.count()
@@ -43,18 +43,21 @@ def seen_before(arrivals: DataFrame, stored: DataFrame, broadcast_words: int = B
     old = stored.where("key is not null").select("key", F.xxhash64("key").alias("h"))
     w_old, w_new = words_for(n_old), words_for(n_new)
 
-    probed = might_contain(new, membership_filter(old, w_old), "h", w_old, "in_store", n_new, broadcast_words)
-    probed = might_contain(probed, repeat_filter(new, w_new), "h", w_new, "in_new", n_new, broadcast_words)
+    probed = might_contain(new, membership_filter(old, w_old), "h", w_old, "in_store", segment_blocks)
+    probed = might_contain(probed, repeat_filter(new, w_new), "h", w_new, "in_new", segment_blocks)
     positive = F.col("in_store") | F.col("in_new")
-    negatives = probed.where(~positive).select("rec_id", F.lit(False).alias("seen"), F.lit("filter").alias("route"))
+    # written once, negatives with their id alone; positives are counted per key, looked up and joined back
+    only = lambda c: F.when(positive, F.col(c)).alias(c)
+    routed = materialize(probed.select("rec_id", only("key"), only("h"), only("in_store"), positive.alias("positive")), "routed", "positive")
+    negatives = routed.where("not positive").select("rec_id", F.lit(False).alias("seen"), F.lit("filter").alias("route"))
+    asked = routed.where("positive")
 
-    # positives are written once: they are counted per key, looked up and joined back
-    asked = materialize(probed.where(positive).select("rec_id", "key", "h", "in_store"), "asked")
     # one row per looked-up key; combined in the tasks first, so hot keys stay small
-    keys = asked.groupBy("key").agg(F.min("rec_id").alias("first_rec"), F.count(F.lit(1)).alias("held"), F.bool_or("in_store").alias("in_store"))
-    wanted = membership_filter(asked.where("in_store").select("h"), w_new)
-    # one filter row at most per looked-up hash keeps the stored side to keys that may match
-    on_disk = might_contain(old, wanted, "h", w_new, "asked", n_old, broadcast_words).where("asked").select("key").distinct()
+    keys = asked.groupBy("key").agg(F.min("rec_id").alias("first_rec"), F.count(F.lit(1)).alias("held"))
+    w_asked = words_for(asked.where("in_store").count())
+    wanted = membership_filter(asked.where("in_store").select("h"), w_asked)
+    # the reverse filter leaves of the stored side only keys that may match; no other is shuffled
+    on_disk = might_contain(old, wanted, "h", w_asked, "asked", segment_blocks).where("asked").select("key").distinct()
     looked_up = keys.join(on_disk.withColumn("stored", F.lit(True)), "key", "left").select("key", "first_rec", "held", F.coalesce("stored", F.lit(False)).alias("stored"))
     rows = join_back(asked.select("rec_id", "key"), looked_up, "key", "held", n_new, hot_share)
     seen = F.col("stored") | (F.col("rec_id") > F.col("first_rec"))

@@ -49,11 +49,11 @@ def hashed(spark, values):
     return spark.createDataFrame([(v,) for v in values], "v string").select(F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h"), "v")
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [4, bloom.SEGMENT_BLOCKS])
 def test_filters_have_no_false_negatives(spark, limit):
     stored, asked = [f"k{i}" for i in range(3000)], [f"k{i}" for i in range(0, 9000, 3)] + [None]
     n = bloom.words_for(len(stored))
-    out = bloom.might_contain(hashed(spark, asked), bloom.membership_filter(hashed(spark, stored), n), "h", n, "maybe", len(asked), limit).collect()
+    out = bloom.might_contain(hashed(spark, asked), bloom.membership_filter(hashed(spark, stored), n), "h", n, "maybe", limit).collect()
     assert len(out) == len(asked)
     held = set(stored)
     assert all(r["maybe"] for r in out if r["v"] in held)
@@ -61,12 +61,12 @@ def test_filters_have_no_false_negatives(spark, limit):
     assert not next(r for r in out if r["v"] is None)["maybe"]
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [4, bloom.SEGMENT_BLOCKS])
 def test_repeats_inside_and_across_tasks(spark, limit):
     values = [f"k{i}" for i in range(4000)] + [f"k{i}" for i in range(0, 4000, 10)] + ["hot"] * 3000
     df = hashed(spark, values).repartition(7)
     n = bloom.words_for(len(values))
-    out = bloom.might_contain(df, bloom.repeat_filter(df, n), "h", n, "maybe", len(values), limit).collect()
+    out = bloom.might_contain(df, bloom.repeat_filter(df, n), "h", n, "maybe", limit).collect()
     times = Counter(values)
     assert all(r["maybe"] for r in out if times[r["v"]] > 1)
     assert sum(r["maybe"] for r in out if times[r["v"]] == 1) < 0.02 * len(out)
@@ -91,7 +91,7 @@ def test_join_back_with_hot_keys(spark):
 ARRIVALS = "rec_id bigint, key string"
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [4, bloom.SEGMENT_BLOCKS])
 @pytest.mark.parametrize("share", [2, 1000])
 def test_seen_against_a_set(spark, limit, share):
     rnd = random.Random(3)
@@ -131,7 +131,7 @@ def brute_key(mode, kind, origin, target):
     return mode, kind, runs(origin), runs(target)
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [4, bloom.SEGMENT_BLOCKS])
 @pytest.mark.parametrize("share", [2, 1000])
 def test_canonical_against_grouping(spark, limit, share):
     rnd = random.Random(5)
