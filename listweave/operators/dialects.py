@@ -24,6 +24,7 @@ FIELDS = ("source_type", "target", "dest", "mode", "scope", "type", "controls")
 DNSMASQ_MARK, SMARTDNS_MARK, CLASH_HEAD = "address=/", "address /", "payload"
 COMMENT_MARK = {"EASYLIST": "! ", "DNS": "! ", "DNSMASQ": "# ", "SMARTDNS": "# ", "HOSTS": "# ", "CLASH": "#"}
 HEAD = {d: "payload:" if d == "CLASH" else "" for d in DIALECTS}
+# No dialect closes its files with a line of its own.
 TAIL = dict.fromkeys(DIALECTS, "")
 
 
@@ -144,6 +145,13 @@ def parse_lines(df: DataFrame) -> DataFrame:
     return df.select(*kept, F.col("source_type").alias("declared_type"), F.col("line").alias("origin"), once)
 
 
+def breaking(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose line would have the status ERROR. Only one
+    dialect can break off, so its stage alone is run."""
+    kept = df.columns
+    return _smartdns(df)[0].where("_fails").select(*[F.col(f"`{c}`") for c in kept])
+
+
 # -- rendering ----------------------------------------------------------------
 
 def _has(control: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listweave.functions.text import has_text, utf16_len
-from listweave.operators.dialects import is_comment, parse_lines, renderings
+from listweave.operators.dialects import breaking, is_comment, parse_lines, renderings
 
 MIN_LENGTH, MAX_LENGTH, ALERT_LENGTH = 0, 1024, 6
 
@@ -34,14 +34,18 @@ def parsed(lines: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX
     return parse_lines(gate(lines, min_length, max_length))
 
 
+def first_errors(lines: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
+    """(source_idx, error_at): where a source breaks off. One row per source at
+    most, which is configuration, so joins broadcast it."""
+    at = breaking(gate(lines.where("source_type = 'SMARTDNS'"), min_length, max_length))
+    return F.broadcast(at.groupBy("source_idx").agg(F.min("line_no").alias("error_at")))
+
+
 def until_error(lines: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
     """Parsed lines up to the first ERROR of their source, without it and what
-    follows. Only one dialect can break off, so the search for errors reads
-    its sources alone; it gives at most one row per source."""
-    at = parsed(lines.where("source_type = 'SMARTDNS'"), min_length, max_length).where("status = 'ERROR'")
-    at = at.groupBy("source_idx").agg(F.min("line_no").alias("error_at"))
-    rows = parsed(lines, min_length, max_length).join(at, "source_idx", "left")
-    return rows.where("error_at is null or line_no < error_at").drop("error_at")
+    follows. The cut is made on the lines, before they are parsed."""
+    rows = lines.join(first_errors(lines, min_length, max_length), "source_idx", "left")
+    return parsed(rows.where("error_at is null or line_no < error_at").drop("error_at"), min_length, max_length)
 
 
 def exclude(rules: DataFrame, excludes: DataFrame) -> DataFrame:
@@ -73,24 +77,37 @@ def mark_excluded(rules: DataFrame, excludes: DataFrame) -> DataFrame:
     return rules.join(listed, "target", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
-def source_stats(read: DataFrame, effective: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """(source_name, total, effective, repeat, invalid) of parsed lines with
-    their exclusion mark and of the rules after deduplication; ``failed`` are
-    the rules that a probe dropped, which count as invalid. The lines are read
-    once: total = invalid + excluded + repeat + effective."""
-    counts = read.groupBy("source_name").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") != "OK").alias("bad"),
-        F.count_if((F.col("status") == "OK") & ~F.col("excluded")).alias("kept"))
-    out = _with_count(counts, effective, "effective")
-    out = _with_count(out, failed, "failed") if failed is not None else out.withColumn("failed", F.lit(0))
-    repeat = F.col("kept") - F.col("failed") - F.col("effective")
-    return out.select("source_name", "total", "effective", repeat.alias("repeat"), (F.col("bad") + F.col("failed")).alias("invalid"))
+def _is_kept(rules: DataFrame) -> Column:
+    """What goes on to deduplication: rules that are neither excluded nor, where
+    a probe has been made, unresolved."""
+    kept = (F.col("status") == "OK") & ~F.col("excluded")
+    return kept & F.col("resolves") if "resolves" in rules.columns else kept
 
 
-def _with_count(sources: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """``sources`` with the number of ``rows`` of each, 0 where there are none."""
-    n = rows.groupBy(F.col("source_name").alias("_of")).agg(F.count(F.lit(1)).alias(name))
-    return sources.join(n, F.col("source_name").eqNullSafe(F.col("_of")), "left").drop("_of").fillna(0, [name])
+def source_stats(read: DataFrame) -> DataFrame:
+    """(source_name, total, effective, repeat, invalid) of parsed lines with
+    their mark ``excluded`` and, after a probe, ``resolves``; what does not
+    resolve counts as invalid. total = invalid + excluded + repeat + effective.
+
+    The lines are read and parsed once: they are counted per key and source in
+    the tasks (a key, and all lines that are not kept, cost a row per source
+    there), and the source of a key's first line gets the effective one.
+    """
+    kept = _is_kept(read)
+    lost = (F.col("status") != "OK") | (~kept & ~F.col("excluded"))
+    keys = [c.alias(f"g{i}") for i, c in enumerate(rule_key())]
+    rows = read.select("source_name", "source_idx", "line_no", kept.alias("kept"), lost.alias("lost"), *keys)
+    g = [f"g{i}" for i in range(len(keys))]
+    rows = rows.withColumns({c: F.when(F.col("kept"), F.col(c)) for c in g})
+    per_key = rows.groupBy("kept", "lost", *g, "source_name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_idx", "line_no")).alias("first"))
+    first = F.min("first").over(Window.partitionBy("kept", "lost", *g))
+    won = (F.col("kept") & (F.col("first") == first)).cast("bigint")
+    counts = per_key.select("source_name", "kept", "lost", "n", won.alias("won"))
+    counts = counts.groupBy("source_name").agg(
+        F.sum("n").alias("total"), F.sum("won").alias("effective"),
+        F.sum(F.when(F.col("kept"), F.col("n") - F.col("won")).otherwise(0)).alias("repeat"),
+        F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("invalid"))
+    return counts
 
 
 def fan_out(rules: DataFrame, outputs: list[dict]) -> DataFrame:
@@ -121,17 +138,43 @@ def output_totals(rendered: DataFrame, outputs: list[dict]) -> DataFrame:
     return names.join(counts, "file", "left").fillna(0, ["total"])
 
 
-def audit(lines: DataFrame, excludes: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH, alert_length: int = ALERT_LENGTH) -> DataFrame:
-    """(source_idx, line_no, event): what became of every line before
-    deduplication: blank, comment, short, long, invalid, error, lost (behind an
-    error), excluded, suspicious (kept, but short) or kept."""
+def _events(lines: DataFrame, excludes: DataFrame, min_length: int, max_length: int) -> DataFrame:
+    """Every line once, parsed if it passes the gate, with ``event`` where it
+    goes no further: blank, comment, short, long, invalid, error, lost (behind
+    an error) or excluded."""
     reason = gate_reason(F.col("line"), F.col("source_type"), min_length, max_length)
-    rows = parse_lines(lines.withColumn("_gate", reason))
-    at = parsed(lines.where("source_type = 'SMARTDNS'"), min_length, max_length).where("status = 'ERROR'").groupBy("source_idx").agg(F.min("line_no").alias("error_at"))
-    listed = excludes.select("target").distinct().withColumn("_listed", F.lit(True))
-    rows = rows.join(at, "source_idx", "left").join(listed, "target", "left")
+    lines = lines.withColumn("_gate", reason)
+    rows = parse_lines(lines.withColumn("line", F.when(F.col("_gate").isNull(), F.col("line"))))
+    rows = mark_excluded(rows.join(first_errors(lines.drop("_gate"), min_length, max_length), "source_idx", "left"), excludes)
     event = (
         F.when((F.col("line_no") > F.col("error_at")), "lost").when(F.col("_gate").isNotNull(), F.col("_gate"))
-        .when(F.col("status") == "ERROR", "error").when(F.col("status") == "INVALID", "invalid")
-        .when(F.col("_listed"), "excluded").when(utf16_len(F.col("origin")) <= alert_length, "suspicious").otherwise("kept"))
-    return rows.select("source_idx", "line_no", event.alias("event"))
+        .when(F.col("status") == "ERROR", "error").when(F.col("status") == "INVALID", "invalid").when(F.col("excluded"), "excluded"))
+    return rows.withColumn("event", event).drop("_gate", "error_at")
+
+
+def audit(lines: DataFrame, excludes: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH, alert_length: int = ALERT_LENGTH) -> DataFrame:
+    """(source_idx, line_no, event): what became of every line before
+    deduplication: see ``_events``, else suspicious (kept, but short) or kept."""
+    rows = _events(lines, excludes, min_length, max_length)
+    going = F.when(utf16_len(F.col("origin")) <= alert_length, "suspicious").otherwise("kept")
+    return rows.select("source_idx", "line_no", F.coalesce("event", going).alias("event"))
+
+
+def audit_trail(lines: DataFrame, excludes: DataFrame, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH, alert_length: int = ALERT_LENGTH, unresolved: DataFrame | None = None) -> DataFrame:
+    """(source_idx, source_name, line_no, event, suspicious): every line to its
+    end: as ``_events`` says, else unresolved (listed in ``unresolved`` by
+    (source_idx, line_no)), repeat or effective; ``suspicious`` marks short
+    rules that were not excluded."""
+    rows = _events(lines, excludes, min_length, max_length)
+    short = F.col("event").isNull() & (utf16_len(F.col("origin")) <= alert_length)
+    rows = rows.select("source_idx", "source_name", "line_no", "event", short.alias("suspicious"), *rule_key())
+    if unresolved is not None:
+        failed = unresolved.select("source_idx", "line_no").distinct().withColumn("_no", F.lit(True))
+        rows = rows.join(failed, ["source_idx", "line_no"], "left")
+        rows = rows.withColumn("event", F.when(F.col("event").isNull() & F.col("_no"), "unresolved").otherwise(F.col("event"))).drop("_no")
+    # lines that end before have a key of their own, so none gathers in one task
+    own = F.when(F.col("event").isNotNull(), F.struct("source_idx", "line_no"))
+    keys = ["ku", "kt", "k_mode", "k_scope", "k_type"]
+    place = F.row_number().over(Window.partitionBy(*[F.when(F.col("event").isNull(), F.col(c)) for c in keys], own).orderBy("source_idx", "line_no"))
+    last = F.when(place == 1, "effective").otherwise("repeat")
+    return rows.select("source_idx", "source_name", "line_no", F.coalesce("event", last).alias("event"), F.coalesce("suspicious", F.lit(False)).alias("suspicious"))

@@ -52,6 +52,10 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.audit(_lines(spark, sf_dir), table(spark, sf_dir, "excludes"))
 
 
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.audit_trail(_lines(spark, sf_dir), table(spark, sf_dir, "excludes"), alert_length=9)
+
+
 def _parse(dialect: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = _lines(spark, sf_dir).where(F.col("source_type") == dialect)
@@ -94,13 +98,17 @@ def suspicious_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.suspicious(_kept(spark, sf_dir)).select("source_idx", "line_no", "origin")
 
 
+def short_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert with a longer limit, which the test tables do reach."""
+    return flow.suspicious(_kept(spark, sf_dir), 9).select("source_idx", "line_no", "origin")
+
+
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_effective(spark, sf_dir)).select("source_idx", "line_no", "source_name", *_SHOWN, "controls")
 
 
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = flow.mark_excluded(flow.until_error(_lines(spark, sf_dir)), table(spark, sf_dir, "excludes"))
-    return flow.source_stats(read, _effective(spark, sf_dir))
+    return flow.source_stats(flow.mark_excluded(flow.until_error(_lines(spark, sf_dir)), table(spark, sf_dir, "excludes")))
 
 
 def _render(dialect: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -134,8 +142,10 @@ def render_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dns_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in resolver knows every name but those under .invalid."""
     from listweave.operators.probe import drop_unresolved
+    from listweave.storage import materialize
 
-    return drop_unresolved(_kept(spark, sf_dir), _stand_in).select("source_idx", "line_no", "origin")
+    kept = materialize(_kept(spark, sf_dir).select("source_idx", "line_no", "origin", "target", "type", "scope"), "kept")
+    return drop_unresolved(kept, _stand_in).select("source_idx", "line_no", "origin")
 
 
 def _stand_in(name: str) -> bool:
@@ -151,10 +161,10 @@ def incremental_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "gate_lines": gate_lines, "length_gate": length_gate, "audit_lines": audit_lines,
+    "gate_lines": gate_lines, "length_gate": length_gate, "audit_lines": audit_lines, "audit_trail": audit_trail,
     **{f"parse_{d.lower()}": _parse(d) for d in DIALECTS},
     "classify_base_rule": classify_base_rule, "text_helpers": text_helpers, "split_lines": split_lines,
-    "first_error_truncation": first_error_truncation, "exclude_rules": exclude_rules, "suspicious_rules": suspicious_rules,
+    "first_error_truncation": first_error_truncation, "exclude_rules": exclude_rules, "suspicious_rules": suspicious_rules, "short_rules": short_rules,
     "dedup_first_wins": dedup_first_wins, "source_stats": source_stats,
     **{f"render_{d.lower()}": _render(d) for d in DIALECTS},
     "fanout_outputs": fanout_outputs, "output_totals": output_totals, "render_header": render_header,

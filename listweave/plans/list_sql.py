@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The grammar of white space, addresses and names
 _SPACE = r"\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
 _OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _LABEL = "[a-zA-Z0-9][-a-zA-Z0-9]{0,62}"
@@ -128,6 +129,16 @@ ORACLE = {
       SELECT g0.source_idx, g0.line_no, CASE WHEN g0.line_no > error_at THEN 'lost' WHEN gate IS NOT NULL THEN gate WHEN status = 'ERROR' THEN 'error' WHEN status = 'INVALID' THEN 'invalid'
         WHEN target IN (SELECT target FROM excludes WHERE target IS NOT NULL) THEN 'excluded' WHEN {_units('line')} <= 6 THEN 'suspicious' ELSE 'kept' END AS event
       FROM g0 LEFT JOIN p ON p.source_idx = g0.source_idx AND p.line_no = g0.line_no LEFT JOIN err ON err.source_idx = g0.source_idx""",
+    "audit_trail": _WITH + f""", g0 AS (SELECT source_idx, source_name, line_no, {_gate()} AS gate, line FROM raw_lines),
+      p AS (SELECT DISTINCT source_idx, line_no, status, target FROM parsed),
+      n AS (SELECT source_idx, line_no, min(rn) AS rn FROM ranked GROUP BY ALL),
+      e AS (SELECT g0.source_idx, source_name, g0.line_no, line, row_number() OVER (PARTITION BY g0.source_idx, g0.line_no ORDER BY line) AS copy, rn,
+        CASE WHEN g0.line_no > error_at THEN 'lost' WHEN gate IS NOT NULL THEN gate WHEN status = 'ERROR' THEN 'error' WHEN status = 'INVALID' THEN 'invalid'
+        WHEN target IN (SELECT target FROM excludes WHERE target IS NOT NULL) THEN 'excluded' END AS event
+      FROM g0 LEFT JOIN p ON p.source_idx = g0.source_idx AND p.line_no = g0.line_no LEFT JOIN err ON err.source_idx = g0.source_idx
+        LEFT JOIN n ON n.source_idx = g0.source_idx AND n.line_no = g0.line_no)
+      SELECT source_idx, source_name, line_no, coalesce(event, CASE WHEN rn = 1 AND copy = 1 THEN 'effective' ELSE 'repeat' END) AS event,
+        event IS NULL AND {_units('line')} <= 9 AS suspicious FROM e""",
     **{f"parse_{d.lower()}": _WITH + _PARSE.format(d) for d in _RENDERED},
     "classify_base_rule": f"SELECT source_idx, line_no, {_base('line')} AS base FROM raw_lines",
     "text_helpers": rf"""SELECT source_idx, line_no, {_text('line')} AND (starts_with(line, '||') OR starts_with(line, '@@')) AS anchored,
@@ -143,6 +154,7 @@ ORACLE = {
     "first_error_truncation": _WITH + "SELECT source_idx, line_no, origin, status FROM cut",
     "exclude_rules": _WITH + "SELECT source_idx, line_no, origin, target FROM kept",
     "suspicious_rules": _WITH + f"SELECT source_idx, line_no, origin FROM kept WHERE {_units('origin')} <= 6",
+    "short_rules": _WITH + f"SELECT source_idx, line_no, origin FROM kept WHERE {_units('origin')} <= 9",
     "dedup_first_wins": _WITH + "SELECT source_idx, line_no, source_name, origin, source_type, target, dest, mode, scope, type, controls FROM effective",
     "source_stats": _WITH + """, t AS (SELECT source_name, count(*) AS total, count(*) FILTER (status = 'INVALID') AS invalid FROM cut GROUP BY source_name),
       k AS (SELECT source_name, count(*) FILTER (rn = 1) AS effective, count(*) FILTER (rn > 1) AS repeat FROM ranked GROUP BY source_name)

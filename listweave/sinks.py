@@ -34,7 +34,7 @@ def write_outputs(spark: SparkSession, rendered: DataFrame, outputs: list[dict],
     then the part files of a file are appended to its header by the file
     system's streams, never through driver memory. An output without rows
     still gets its file. Existing files are replaced when the new ones are
-    complete; a failure raises and leaves them.
+    complete, by one rename; a failure raises and leaves them.
     """
     now = now or dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")  # noqa: DTZ005
     jvm = spark._jvm  # noqa: SLF001
@@ -62,16 +62,27 @@ def write_outputs(spark: SparkSession, rendered: DataFrame, outputs: list[dict],
                         source.close()
             finally:
                 stream.close()
-            final = path(f"{folder.rstrip('/')}/{o['name']}")
-            if fs.exists(final):
-                fs.delete(final, False)
-            if not fs.rename(whole, final):
-                raise OSError(f"{o['name']} could not be moved into place")
+            _replace(spark, fs, whole, path(f"{folder.rstrip('/')}/{o['name']}"))
     finally:
         fs.delete(path(staging), True)
     return {o["name"]: totals.get(o["name"], 0) for o in outputs}
 
 
+def _replace(spark: SparkSession, fs: object, made: object, final: object) -> None:
+    """Moves a finished file over another of that name in one step."""
+    if fs.getUri().getScheme() == "file":  # Hadoop would delete the old one first
+        old = final.toUri().getPath()
+        checksum = os.path.join(os.path.dirname(old), f".{os.path.basename(old)}.crc")
+        if os.path.exists(checksum) and not os.path.isdir(old):
+            os.remove(checksum)
+        os.replace(made.toUri().getPath(), old)
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)  # noqa: SLF001
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(made), fs.makeQualified(final), how)  # noqa: SLF001
+
+
 def _parts(jvm: object, fs: object, path: object, body: str, name: str) -> list:
     """The part files of one output in the order of their numbers."""
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName

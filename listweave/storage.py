@@ -13,11 +13,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_inside: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_folder(spark: SparkSession) -> str:
-    """The part of the shared folder that belongs to this application."""
-    return f"{shared_dir(spark)}/listweave/{spark.sparkContext.applicationId}"
+    """The part of the shared folder that belongs to this application, or to
+    the innermost ``scratch``."""
+    return "/".join([shared_dir(spark), "listweave", spark.sparkContext.applicationId, *_inside])
 
 
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -56,6 +60,17 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end."""
+    _inside.append(f"run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear(spark)
+        _inside.pop()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that were not
     written or collected can no longer be read."""

@@ -36,12 +36,31 @@ def test_first_wins_in_source_order(spark):
 def test_stats_add_up(spark):
     df = lines(spark, ("HOSTS", "0.0.0.0 a.de", "0.0.0.0 b.de", "junk", "0.0.0.0 a.de"), ("HOSTS", "0.0.0.0 a.de", "# c"), ("HOSTS", "junk"))
     excludes = spark.createDataFrame([("b.de",), ("b.de",), (None,)], "target string")
-    read = flow.until_error(df)
-    kept = flow.exclude(read.where("status = 'OK'"), excludes)
-    stats = {r["source_name"]: tuple(r)[1:] for r in flow.source_stats(flow.mark_excluded(read, excludes), flow.first_wins(kept)).collect()}
+    read = flow.mark_excluded(flow.until_error(df), excludes)
+    stats = {r["source_name"]: tuple(r)[1:] for r in flow.source_stats(read).collect()}
     assert stats == {"s0": (4, 1, 1, 1), "s1": (1, 0, 1, 0), "s2": (1, 0, 0, 1)}
 
 
+def test_audit_trail(spark):
+    df = lines(spark, ("HOSTS", "0.0.0.0 a.de", "0.0.0.0 b.de", "junk", "0.0.0.0 a.de", "# c"), ("SMARTDNS", "address /a.de/#", "address /-b.de/#", "address /c.de/#"), ("EASYLIST", "x.y", "||gone.de^"))
+    excludes = spark.createDataFrame([("b.de",)], "target string")
+    gone = spark.createDataFrame([(2, 2)], "source_idx int, line_no bigint")
+    got = {(r["source_idx"], r["line_no"]): (r["event"], r["suspicious"]) for r in flow.audit_trail(df, excludes, unresolved=gone).collect()}
+    assert [got[0, i][0] for i in range(1, 6)] == ["effective", "excluded", "invalid", "repeat", "comment"]
+    assert [got[1, i][0] for i in range(1, 4)] == ["repeat", "error", "lost"]
+    assert got[2, 1] == ("effective", True) and got[2, 2] == ("unresolved", False)
+
+
+def test_no_join_shuffles_lines_by_source(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = lines(spark, ("SMARTDNS", "address /a.de/#"))
+        plan = flow.until_error(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 OUTPUTS = [
     {"name": "all", "type": "EASYLIST", "filter": [], "rule": []},
     {"name": "one", "type": "HOSTS", "filter": ["BASIC"], "rule": ["s1"]},

@@ -1,14 +1,17 @@
 """Sources, configuration, sinks, probe, streaming and the whole job."""
 
+import socket
 import threading
+import time
 import urllib.error
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import pytest
 
 from listweave.operators import probe
 from listweave.plans import pipeline
-from listweave.sinks import header
+from listweave.sinks import header, write_outputs
 from listweave.sources import lists
 from listweave.sources.config import Http, parse_config, seconds, size_bytes
 from listweave.streaming.incremental import keep_batch, replay
@@ -72,8 +75,11 @@ def test_whole_job(spark, tmp_path):
     config = parse_config(TREE)
     (tmp_path / "out").mkdir()
     (tmp_path / "out" / "hosts").write_text("stale")
-    counts = pipeline.run(spark, config, now="2025-01-01 00:00:00", root=str(tmp_path))
-    assert counts == {"easy.txt": 3, "hosts": 3, "none.yaml": 0}
+    report = pipeline.run(spark, config, now="2025-01-01 00:00:00", root=str(tmp_path), audit_path=f"file://{tmp_path}/audit")
+    assert report.totals == {"easy.txt": 3, "hosts": 3, "none.yaml": 0}
+    assert report.sources == {"A": {"total": 4, "effective": 3, "repeat": 0, "invalid": 0}, "b.txt": {"total": 2, "effective": 1, "repeat": 1, "invalid": 0}, "C": {"total": 1, "effective": 1, "repeat": 0, "invalid": 0}}
+    assert report.events == {"comment": 1, "excluded": 1, "effective": 5, "repeat": 1, "blank": 1, "error": 1, "lost": 1, "suspicious": 1}
+    assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 11 and report.seconds > 0
     out = {p.name: p.read_bytes().decode() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
     assert out["easy.txt"] == "! easy.txt easylist D\r\n! 3 of 2025-01-01 00:00:00\n||a.de^\n@@||b.de^\nx\rx$y\n"
     assert out["hosts"] == "# own 3\n0.0.0.0\ta.de\n1.2.3.4\td.de\n0.0.0.0\te.de\n"
@@ -84,6 +90,111 @@ def test_whole_job(spark, tmp_path):
     assert stats == {"A": (4, 3, 0, 0), "b.txt": (2, 1, 1, 0), "C": (1, 1, 0, 0)}
 
 
+def test_local_files_are_read_in_splits(spark, tmp_path):
+    content = "\ufeffx\r\n" + "".join(f"line {i}\n" if i % 3 else f"l\u00e9{i}\r\n" for i in range(4000)) + "\xffrest".encode("latin-1").decode("utf-8", "surrogateescape")
+    (tmp_path / "big.txt").write_bytes(content.encode("utf-8", "surrogateescape"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = lists.read_local(spark, "big.txt", root=str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        got = [tuple(r) for r in df.orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = ["\ufeffx", *[f"line {i}" if i % 3 else f"l\u00e9{i}" for i in range(4000)], "\ufffdrest"]
+    assert got == list(enumerate(expected, 1))
+
+
+def test_a_failing_move_keeps_the_old_file(spark, tmp_path):
+    (tmp_path / "o" / "hosts").mkdir(parents=True)
+    (tmp_path / "o" / "hosts" / "old").write_text("kept")
+    rendered = spark.createDataFrame([("hosts", 0, 1, "x")], "file string, source_idx int, line_no bigint, line string")
+    with pytest.raises(OSError):
+        write_outputs(spark, rendered, [{"name": "hosts", "type": "HOSTS"}], str(tmp_path / "o"))
+    assert (tmp_path / "o" / "hosts" / "old").read_text() == "kept" and len(list((tmp_path / "o").iterdir())) == 1
+
+
+def test_a_url_is_fetched_once_and_nothing_is_left(spark, server):
+    from listweave.storage import own_folder, shared_dir
+
+    url, hits = server
+    tree = {"input": [{"name": "r", "path": f"{url}/list", "type": "smartdns"}, {"name": "h", "path": f"{url}/hosts", "type": "hosts"}], "output": {"files": [{"name": "f", "type": "hosts"}]}}
+    before = list(Path(own_folder(spark).removeprefix("file://")).glob("run-*"))
+    report = pipeline.run(spark, parse_config(tree), root=shared_dir(spark).removeprefix("file://"))
+    assert sorted(hits) == ["/hosts", "/list"] and report.sources["h"]["effective"] == 1
+    assert list(Path(own_folder(spark).removeprefix("file://")).glob("run-*")) == before
+
+
+@pytest.fixture
+def resolver():
+    """A UDP server: NXDOMAIN for no.*, no records for empty.*, refusal for
+    refuse.*, silence for silent.*, an IPv6 address alone for six.*, else an IPv4 one."""
+    asked = []
+    sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    sock.bind(("127.0.0.1", 0))
+
+    def serve():
+        while True:
+            try:
+                data, peer = sock.recvfrom(512)
+            except OSError:
+                return
+            if not data:
+                return
+            first, kind = data[13 : 13 + data[12]].decode(), data[-3]
+            asked.append((first, kind))
+            code = {"no": 3, "refuse": 5}.get(first, 0)
+            records = 0 if code or first == "empty" or (first == "six" and kind == 1) else 1
+            if first == "forged":
+                sock.sendto(data[:2] + b"\x81\x83" + data[4:12] + b"\x01x" + data[14:], peer)
+            if first != "silent":
+                sock.sendto(data[:2] + bytes([0x81, 0x80 | code]) + data[4:6] + bytes([0, records]) + data[8:], peer)
+
+    threading.Thread(target=serve, daemon=True).start()
+    yield sock.getsockname(), asked
+    sock.close()
+
+
+def test_resolver_answers(resolver):
+    server, asked = resolver
+    ask = probe.ServerLookup([server], timeout=0.2)
+    names = ["a.de", "no.de", "empty.de", "six.de", "refuse.de", "silent.de", "forged.de", "." * 3, "x" * 70 + ".de"]
+    assert [ask(n) for n in names] == [True, False, False, True, True, True, True, True, True]
+    assert asked.count(("no", 1)) == 1 and asked.count(("empty", 1)) == asked.count(("empty", 28)) == 1 and asked.count(("silent", 1)) == 2
+
+
+def test_resolvers_take_turns(resolver):
+    server, asked = resolver
+    dead = ("127.0.0.1", 1)
+    ask = probe.ServerLookup([dead, server], timeout=0.2)
+    assert not any(ask("no.de") for _ in range(4)) and asked.count(("no", 1)) == 4
+    assert probe.ServerLookup([dead], timeout=0.05)("no.de")
+
+
+def test_lookups_in_flight_are_bounded_for_the_job(spark, tmp_path):
+    def lookup(name):
+        began = time.time()
+        time.sleep(0.01)
+        (tmp_path / name).write_text(f"{began} {time.time()}")
+        return True
+
+    names = spark.createDataFrame([(f"n{i}",) for i in range(60)], "n string")
+    for parallel in (2, 8):
+        assert probe.resolvable(names, lookup, parallel).count() == 60
+        spans = [tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir()]
+        assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= parallel
+
+
+def test_lookups_of_the_job_are_counted(spark, tmp_path):
+    (tmp_path / "h.txt").write_text("0.0.0.0 a.de\n0.0.0.0 b.de\n0.0.0.0 a.de\njunk\n")
+    tree = {"input": [{"name": "h", "path": "h.txt", "type": "hosts"}], "output": {"files": [{"name": "f", "type": "hosts"}]}, "config": {"parser": {"dns-probe": {"enable": True}}}}
+    report = pipeline.run(spark, parse_config(tree), lookup=lambda name: name != "b.de", root=str(tmp_path))
+    assert report.lookups == {"wanted": 3, "queries": 2, "cache_hits": 1}
+    assert report.events == {"effective": 1, "repeat": 1, "unresolved": 1, "invalid": 1, "suspicious": 0}
+    assert report.sources["h"] == {"total": 4, "effective": 1, "repeat": 1, "invalid": 2}
+
+
 def test_probe_in_the_job(spark, tmp_path):
     for name, content in FILES.items():
         (tmp_path / name).write_text(content, newline="")
