@@ -21,7 +21,9 @@ Defined results
 - Documents without tokens take their place in the order and cost nothing.
 - Rows of equal id and size are separate documents; their order among
   themselves is free. Null weights, weights <= 0 and null or non-positive
-  max_repeats give nothing.
+  max_repeats give nothing; of several targets of one source the one with the
+  greatest weight counts.
+- Any number of sources: only the times of the queue come to the driver.
 - Empty tables give an empty mixture.
 """
 
@@ -37,58 +39,69 @@ from listweave.storage import materialize
 
 #: Documents per bucket of the shuffled order, on average.
 BUCKET_ROWS = 20_000
-#: The targets are configuration; more sources than this are refused.
-MAX_SOURCES = 10_000
+#: Up to so many sources (a name and three numbers each) are broadcast to the
+#: documents; more are joined in SALTS shares, so that a large source is split.
+BROADCAST_SOURCES, SALTS = 50_000, 64
 _MIX = "source string, doc_id {id}, copy_no int, n_tokens bigint, finish double"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """The solved queue: per source (weight, copies allowed, tokens), and the
-    virtual times before which everything, and after which nothing, is taken."""
+    """The solved queue: ``sources`` (source, w, cap, size), one row for each
+    of the ``count`` sources that have tokens and a target, and the virtual
+    times before which everything, and after which nothing, is taken."""
 
     budget: int
-    sources: dict[str, tuple[float, int, int]]
+    sources: DataFrame
+    count: int
     sure: float
     possible: float
 
 
-def _time_for(tokens: float, sources: dict[str, tuple[float, int, int]]) -> float:
+def _time_for(tokens: float, sources: DataFrame) -> float:
     """Virtual time at which the sources have given so many tokens together;
-    infinite if they cannot."""
-    ends = sorted((cap * size / w, w, cap * size) for w, cap, size in sources.values())
-    rate, spent, now = sum(w for w, _, _ in sources.values()), 0.0, 0.0
-    for end, w, _ in ends:
-        step = (end - now) * rate
-        if spent + step >= tokens:
-            return now + (tokens - spent) / rate
-        spent, now, rate = spent + step, end, rate - w
-    return math.inf
+    infinite if they cannot. A source gives w tokens a unit of time until
+    cap * size / w; between two such ends the sum is linear."""
+    ends = sources.select((F.col("cap") * F.col("size") / F.col("w")).alias("end"), "w", (F.col("cap") * F.col("size")).cast("double").alias("all"))
+    # one row of three numbers a source in this window
+    until = Window.partitionBy(F.lit(0)).orderBy("end").rangeBetween(Window.unboundedPreceding, 0)
+    rate = F.sum("w").over(Window.partitionBy(F.lit(0)))
+    at = ends.select("end", "w", F.sum("all").over(until).alias("done"), (rate - F.sum("w").over(until)).alias("later"), F.sum("w").over(Window.partitionBy("end")).alias("ending"))
+    spent = F.col("done") + F.col("end") * F.greatest("later", F.lit(0.0))
+    first = at.where(spent >= tokens).agg(F.min(F.struct("end", spent.alias("spent"), (F.greatest("later", F.lit(0.0)) + F.col("ending")).alias("rate")))).first()[0]
+    return math.inf if first is None else first["end"] - (first["spent"] - tokens) / first["rate"]
 
 
 def plan(sized: DataFrame, targets: DataFrame) -> Plan:
     """``sized`` is (doc_id, source, n_tokens); ``targets`` (source, weight, max_repeats)."""
-    wanted = targets.select("source", "weight", "max_repeats").where("source is not null and weight > 0 and max_repeats > 0").limit(MAX_SOURCES + 1).collect()
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names = F.col("source").isin([r["source"] for r in wanted])
-    per_source = sized.groupBy(F.when(names, F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest")).collect()
-    have = {r["source"]: r for r in per_source}
-    budget = sum(r["tokens"] or 0 for r in per_source)
-    sources = {r["source"]: (float(r["weight"]), int(r["max_repeats"]), int(have[r["source"]]["tokens"])) for r in wanted if r["source"] in have and have[r["source"]]["tokens"]}
-    slack = sum(have[s]["largest"] for s in sources)
-    sure = _time_for(budget, sources)
-    return Plan(budget, sources, sure * (1 - 1e-9), _time_for(budget + slack, sources) * (1 + 1e-9))
-
-
-def mixture(sized: DataFrame, queue: Plan, seed: int = 42) -> DataFrame:
+    wanted = targets.where("source is not null and weight > 0 and max_repeats > 0").groupBy("source").agg(F.max(F.struct("weight", "max_repeats")).alias("t"))
+    wanted = wanted.select("source", F.col("t.weight").cast("double").alias("w"), F.col("t.max_repeats").cast("bigint").alias("cap"))
+    per_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.max("n_tokens").alias("largest"))
+    have = materialize(per_source.join(wanted, "source", "left"), "sources")
+    budget = have.agg(F.sum("size")).first()[0] or 0
+    sources = have.where("w is not null and size > 0")
+    known = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("largest").alias("slack")).first()
+    sources = sources.select("source", "w", "cap", "size")
+    if not known["n"]:
+        return Plan(budget, sources, 0, 0.0, 0.0)
+    return Plan(budget, sources, known["n"], _time_for(budget, sources) * (1 - 1e-9), _time_for(budget + known["slack"], sources) * (1 + 1e-9))
+
+
+def _with_source(rows: DataFrame, queue: Plan, broadcast_sources: int) -> DataFrame:
+    if queue.count <= broadcast_sources:
+        return rows.join(F.broadcast(queue.sources), "source")
+    salted = queue.sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
+
+
+def mixture(sized: DataFrame, queue: Plan, seed: int = 42, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """(source, doc_id, copy_no, n_tokens, finish): one row per copy taken, in
     the order of ``finish`` over the partitions."""
     spark, kind = sized.sparkSession, sized.schema["doc_id"].dataType
-    if not queue.sources:
+    if not queue.count:
         return spark.createDataFrame([], _MIX.format(id=kind.simpleString()))
-    rows = sized.where(F.col("source").isin(list(queue.sources)))
-    bits = max(1, math.ceil(math.log2(max(rows.count() / BUCKET_ROWS, 2))))
+    bits = max(1, math.ceil(math.log2(max(sized.count() / BUCKET_ROWS, 2))))
+    rows = _with_source(sized.select("source", "doc_id", "n_tokens"), queue, broadcast_sources)
     rows = rows.withColumn("r", F.xxhash64(F.lit(seed), "doc_id"))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("r", 64 - bits))
 
@@ -97,11 +110,7 @@ def mixture(sized: DataFrame, queue: Plan, seed: int = 42) -> DataFrame:
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("r", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("run", F.sum("n_tokens").over(inside)).join(offsets, ["source", "bucket"])
-
-    def of(i: int, kind: str) -> F.Column:
-        return F.create_map(*[x for s, v in queue.sources.items() for x in (F.lit(s), F.lit(v[i]).cast(kind))])[F.col("source")]
-
-    placed = placed.select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("run")).alias("at"), of(0, "double").alias("w"), of(1, "int").alias("cap"), of(2, "bigint").alias("size"))
+    placed = placed.select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("run")).alias("at"), "w", F.col("cap").cast("int").alias("cap"), "size")
     reach = F.lit(float(queue.possible)) * F.col("w")
     passes = F.least(F.col("cap").cast("double"), F.floor((reach - F.col("at")) / F.col("size")) + 1).cast("int") if math.isfinite(queue.possible) else F.col("cap")
     taken = placed.withColumn("copy_no", F.explode(F.when(passes >= 1, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))))
@@ -142,5 +151,3 @@ def size_documents(documents: DataFrame, doc_id: str, text: str, source: str, **
 
     sized = encode(documents, doc_id, text, count_only=True, keep=[source], **encoder)
     return materialize(sized.withColumnRenamed(source, "source"), "sized")
-
-

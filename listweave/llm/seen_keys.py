@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listweave.llm.bloom import SEGMENT_BLOCKS, membership_filter, might_contain, repeat_filter, words_for
+from listweave.llm.bloom import BITS_PER_KEY, SEGMENT_BLOCKS, membership_filter, might_contain, repeat_filter, words_for
 from listweave.llm.keyed import HOT_SHARE, join_back, key_text
 from listweave.storage import materialize
 
@@ -35,13 +35,13 @@ def rule_key(origin: Column, target: Column, mode: Column, scope: Column, type:
     return F.when(type.eqNullSafe(F.lit("UNKNOWN")), whole).otherwise(F.concat(F.lit("K"), key_text(target, mode, scope, type)))
 
 
-def seen_before(arrivals: DataFrame, stored: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_share: int = HOT_SHARE) -> DataFrame:
+def seen_before(arrivals: DataFrame, stored: DataFrame, segment_blocks: int = SEGMENT_BLOCKS, hot_share: int = HOT_SHARE, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(rec_id, seen, route) of every row of ``arrivals`` (rec_id, key), given
     ``stored`` (key)."""
     n_new, n_old = arrivals.count(), stored.count()
     new = arrivals.select("rec_id", "key", F.xxhash64("key").alias("h")).withColumn("h", F.when(F.col("key").isNotNull(), F.col("h")))
     old = stored.where("key is not null").select("key", F.xxhash64("key").alias("h"))
-    w_old, w_new = words_for(n_old), words_for(n_new)
+    w_old, w_new = words_for(n_old, bits_per_key), words_for(n_new, bits_per_key)
 
     probed = might_contain(new, membership_filter(old, w_old), "h", w_old, "in_store", segment_blocks)
     probed = might_contain(probed, repeat_filter(new, w_new), "h", w_new, "in_new", segment_blocks)
@@ -54,7 +54,7 @@ def seen_before(arrivals: DataFrame, stored: DataFrame, segment_blocks: int = SE
 
     # one row per looked-up key; combined in the tasks first, so hot keys stay small
     keys = asked.groupBy("key").agg(F.min("rec_id").alias("first_rec"), F.count(F.lit(1)).alias("held"))
-    w_asked = words_for(asked.where("in_store").count())
+    w_asked = words_for(asked.where("in_store").count(), bits_per_key)
     wanted = membership_filter(asked.where("in_store").select("h"), w_asked)
     # the reverse filter leaves of the stored side only keys that may match; no other is shuffled
     on_disk = might_contain(old, wanted, "h", w_asked, "asked", segment_blocks).where("asked").select("key").distinct()

@@ -111,6 +111,21 @@ def test_seen_against_a_set(spark, limit, share):
     assert 0 <= report["false_positive_rate"] < 0.1
 
 
+def test_wrong_answers_are_logged(spark):
+    """With a filter of one bit a key there are many; each is a record that no other holds."""
+    stored, arrivals = [f"s{i}" for i in range(500)], [(i, f"n{i % 900}") for i in range(1000)] + [(2000 + i, f"s{i}") for i in range(100)]
+    out = seen_keys.seen_before(spark.createDataFrame(arrivals, ARRIVALS), spark.createDataFrame([(k,) for k in stored], "key string"), bits_per_key=1)
+    rows = out.collect()
+    times = Counter(k for _, k in arrivals)
+    alone = {i for i, k in arrivals if times[k] == 1 and k not in set(stored)}
+    disproved = {r["rec_id"] for r in rows if r["route"] == "disproved"}
+    assert disproved and disproved < alone
+    report = seen_keys.error_report(out).first()
+    assert (report["records"], report["confirmed"], report["first_of_repeats"], report["disproved"]) == (1100, 200, 100, len(disproved))
+    assert report["positives"] == 300 + len(disproved) and report["filter_negatives"] == 800 - len(disproved)
+    assert report["false_positive_rate"] == len(disproved) / 800
+
+
 def test_seen_small(spark):
     none, one = spark.createDataFrame([], ARRIVALS), spark.createDataFrame([(1, "a"), (2, "a")], ARRIVALS)
     store = spark.createDataFrame([], "key string")
