@@ -57,7 +57,23 @@ def _rule(ok: Column, source_type: Column | str, target: Column, dest: Column, m
     return F.when(ok, F.struct(*[v.alias(n) for n, v in values]))
 
 
-def _adblock(df: DataFrame) -> tuple[DataFrame, Column]:
+class _Chain:
+    """Columns that build on one another, in order. They become one select in
+    which later columns name earlier ones, so that the plan is analysed once
+    and not once per step."""
+
+    def __init__(self) -> None:
+        self.made: dict[str, Column] = {}
+
+    def withColumns(self, made: dict[str, Column]) -> _Chain:  # noqa: N802 - as on a DataFrame
+        self.made.update(made)
+        return self
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[c.alias(name) for name, c in self.made.items()])
+
+
+def _adblock(df: _Chain) -> tuple[_Chain, Column]:
     """Exceptions @@, anchors ||, modifiers after $, separators ^, /patterns/."""
     c = F.col
     df = df.withColumns({"_e0": F.when(c("source_type").isin("EASYLIST", "DNS"), c("line"))})
@@ -81,7 +97,7 @@ def _adblock(df: DataFrame) -> tuple[DataFrame, Column]:
     return df, rule
 
 
-def _address(df: DataFrame) -> tuple[DataFrame, Column]:
+def _address(df: _Chain) -> tuple[_Chain, Column]:
     """Address and name, as in a hosts file; for HOSTS and, first of all, DNS."""
     c = F.col
     df = df.withColumns({"_h": F.when(c("source_type").isin("HOSTS", "DNS"), split_ignore_blank(F.translate("line", "\t", " "), " "))})
@@ -91,7 +107,7 @@ def _address(df: DataFrame) -> tuple[DataFrame, Column]:
     return df, _rule(c("_named"), "HOSTS", c("_name"), F.when(deny, UNKNOWN_IP).otherwise(c("_ip")), F.when(deny, "DENY").otherwise("REWRITE"), F.lit("DOMAIN"), F.lit("BASIC"), _controls())
 
 
-def _dnsmasq(df: DataFrame) -> tuple[DataFrame, Column]:
+def _dnsmasq(df: _Chain) -> tuple[_Chain, Column]:
     c = F.col
     df = df.withColumns({"_q": F.when(c("source_type") == "DNSMASQ", split_ignore_blank(sub_after(c("line"), DNSMASQ_MARK, last=True), "/"))})
     ip = F.get("_q", F.lit(1))
@@ -99,7 +115,7 @@ def _dnsmasq(df: DataFrame) -> tuple[DataFrame, Column]:
     return df, _rule(F.size("_q").isin(1, 2), "DNSMASQ", F.get("_q", F.lit(0)), ip, mode, F.lit("DOMAIN"), F.lit("BASIC"), _controls())
 
 
-def _clash(df: DataFrame) -> tuple[DataFrame, Column]:
+def _clash(df: _Chain) -> tuple[_Chain, Column]:
     c = F.col
     df = df.withColumns({"_k0": F.when((c("source_type") == "CLASH") & ~c("line").startswith(CLASH_HEAD), c("line"))})
     df = df.withColumns({"_k1": java_trim(F.when(c("_k0").startswith("-"), F.substr(c("_k0"), F.lit(2))).otherwise(c("_k0")))})
@@ -112,7 +128,7 @@ def _clash(df: DataFrame) -> tuple[DataFrame, Column]:
     return df, _rule(c("_k0").isNotNull(), "EASYLIST", F.when(sure, c("_k3")), F.when(sure, UNKNOWN_IP), F.when(sure, "DENY"), F.when(sure, "DOMAIN"), kind, _controls(overlay=c("_plus")))
 
 
-def _smartdns(df: DataFrame) -> tuple[DataFrame, Column]:
+def _smartdns(df: _Chain) -> tuple[_Chain, Column]:
     c = F.col
     df = df.withColumns({"_s": F.when(c("source_type") == "SMARTDNS", split_ignore_blank(sub_after(c("line"), SMARTDNS_MARK, last=True), "/"))})
     df = df.withColumns({"_dom": F.get("_s", F.lit(0)), "_act": F.when(F.get("_s", F.lit(1)) == "#", "DENY").when(F.get("_s", F.lit(1)) == "-", "ALLOW")})
@@ -130,11 +146,11 @@ def parse_lines(df: DataFrame) -> DataFrame:
     column source_type becomes the type the parser tags, declared_type keeps
     the source's own. A null line or an unknown dialect is INVALID."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("line", "source_type")]
-    parts = []
+    parts, chain = [], _Chain()
     for stage in (_address, _adblock, _dnsmasq, _clash, _smartdns):
-        df, rule = stage(df)
+        chain, rule = stage(chain)
         parts.append(rule)
-    df = df.withColumn("_rule", F.coalesce(*parts))
+    df = chain.withColumns({"_rule": F.coalesce(*parts)}).of(df)
     status = F.when(F.col("_fails"), "ERROR").when(F.col("_rule").isNull(), "INVALID").otherwise("OK")
     fields = [F.col(f"_rule.{f}").alias(f) for f in FIELDS if f != "controls"]
     controls = F.coalesce(F.col("_rule.controls"), F.array().cast("array<string>")).alias("controls")
@@ -149,7 +165,7 @@ def breaking(df: DataFrame) -> DataFrame:
     """The rows of ``df`` whose line would have the status ERROR. Only one
     dialect can break off, so its stage alone is run."""
     kept = df.columns
-    return _smartdns(df)[0].where("_fails").select(*[F.col(f"`{c}`") for c in kept])
+    return _smartdns(_Chain())[0].of(df).where("_fails").select(*[F.col(f"`{c}`") for c in kept])
 
 
 # -- rendering ----------------------------------------------------------------
